@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from hashloom.llm import textbuf as tb
 
-S, WIDTH = 8, 16
+S, WIDTH = 6, 8
 K = S + WIDTH - 1
 SKETCH = 64
 #: Rows in one range of doc_ids, and the most ranges; only range bounds pass through the driver.
@@ -39,7 +39,7 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     view = tb.words64(tb.padded(raw))
-    inner = view[: len(raw) - S + 1] * np.uint64(0x9FB21C651E98DF25)
+    inner = (view[: len(raw) - S + 1] & np.uint64((1 << 8 * S) - 1)) * np.uint64(0x9FB21C651E98DF25)
     inner ^= inner >> np.uint64(35)
     inner *= np.uint64(0x9E3779B97F4A7C15)
     inner = (inner >> np.uint64(32)).astype(np.uint32)
@@ -51,7 +51,7 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(ends)
     doc_end = off[np.searchsorted(off, at, side="right")]
     at = at[at + K <= doc_end]
-    h = tb.mix(tb.mix(view[at], view[at + 8]), view[at + K - 8])
+    h = tb.mix(view[at], view[at + K - 8])
     return at, (h >> np.uint64(32)).astype(np.uint32)
 
 

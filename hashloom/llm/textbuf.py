@@ -74,6 +74,18 @@ def mix(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return h
 
 
+def word_hashes(view: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of all bytes of each word, whatever its length."""
+    h = mix(*word_keys(view, start, size))
+    long = np.flatnonzero(size > KEY_BYTES)
+    at = KEY_BYTES
+    while len(long):
+        h[long] = mix(h[long], view[start[long] + at] & _MASK[np.minimum(size[long] - at, 8)])
+        at += 8
+        long = long[size[long] > at]
+    return h
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the runs of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
