@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only where none is named (tests), a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+from hashloom.llm.shared import ensure_checkpoint_dir
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

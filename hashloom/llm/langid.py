@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import sampling, textbuf as tb
+from hashloom.llm.shared import stored
 
 #: Labelled documents that the frequencies are counted over, at most; entries in the tables, at most.
 TRAIN_ROWS, WORDS, GRAMS = 20_000, 200_000, 50_000
@@ -123,7 +124,7 @@ def train(sample: DataFrame) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.slices(batch, limit=8 * tb.SLICE_BYTES):
+            for part in tb.slices(batch):
                 pad, begin, end, doc = words(part.column("text"))
                 label = part.column("label").dictionary_encode()
                 lang = np.asarray(label.indices)[doc] if len(doc) else doc
@@ -138,6 +139,7 @@ def train(sample: DataFrame) -> Model | None:
 
     counts = sample.mapInArrow(count, "ord int, key long, lang string, n long").groupBy("ord", "key", "lang").agg(F.sum("n").alias("n"))
     by_key = counts.groupBy("ord", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).where(F.col("total") >= LEAST_COUNT)
+    by_key = stored(by_key)  # read once for each table below
     kept = [by_key.where(F.col("ord") == n).orderBy(F.desc("total"), "key").limit(WORDS if n == 0 else GRAMS) for n in (0, *ORDERS)]
     frame = kept[0]
     for more in kept[1:]:

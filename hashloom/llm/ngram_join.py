@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import graph, textbuf as tb, words
+from hashloom.llm.shared import ensure_checkpoint_dir
 
 THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard similarity is >= 0.8
 #: Members, and shingles, of one block at most (about).
@@ -189,7 +190,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     least doc_id of all documents connected by links, ``n_links`` the number of
     different other texts whose similarity is 0.8 or more.
     """
-    graph.ensure_checkpoint_dir(docs.sparkSession)
+    ensure_checkpoint_dir(docs.sparkSession)
     signed = signatures(docs).checkpoint()
     by_text = signed.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = by_text.groupBy("set_key").agg(F.min("rep").alias("rep"), F.count("*").alias("n_texts"), F.first("n").alias("n"), F.first("bands").alias("bands"))
