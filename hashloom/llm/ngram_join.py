@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import graph, textbuf as tb, words
-from hashloom.llm.shared import ensure_checkpoint_dir
+from hashloom.llm.shared import ensure_checkpoint_dir, stored
 
 THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard similarity is >= 0.8
 #: Members, and shingles, of one block at most (about).
@@ -206,6 +206,15 @@ def near_links(docs: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The documents of which each near-duplicate class keeps the one with the least doc_id; rows without a class stay."""
-    kept = near_links(docs).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(docs.columns)
+    """The documents of which each near-duplicate class keeps the one with the least doc_id.
+
+    Of repeated rows (one doc_id and text) one stays. Rows with a null doc_id stay.
+    """
+    found = stored(near_links(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("times")).where("class_id < doc_id or times > 1"))
+    gone = found.where("class_id < doc_id").select("doc_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("class_id >= doc_id").select("doc_id")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hashloom.llm import bpe_codec_query, decontam_query, langid_query, ngram_join_query, quality_query, secret_scan_query, suffix_dedup_query, syncmers_query, token_counts_query
+from hashloom.llm import bpe_codec_query, decontam_query, langid_query, ngram_join_query, quality_query, secret_scan_query, suffix_dedup_query, syncmers_query, token_counts_query, toxicity_query
 
-_MODULES = (decontam_query, syncmers_query, bpe_codec_query, token_counts_query, secret_scan_query, suffix_dedup_query, langid_query, quality_query, ngram_join_query)
+_MODULES = (decontam_query, syncmers_query, bpe_codec_query, toxicity_query, token_counts_query, secret_scan_query, suffix_dedup_query, langid_query, quality_query, ngram_join_query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,11 @@
+"""op4: a toxicity score for every document."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hashloom.llm.toxicity import score
+
+NAME = "op4_toxicity"
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
