@@ -123,17 +123,17 @@ class SuffixAutomaton:
         size = np.array([len(x) for x in words], np.int64)
         low, high = tb.word_keys(tb.words64(tb.padded(raw)), np.cumsum(size) - size, size)
         h = tb.mix(low, high)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.numbers = h[order], np.arange(len(words))[order]
+        self.hashes, code = np.unique(h, return_inverse=True)  # long words with one key share a code
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.hashes >> np.uint64(44)] = True
-        pairs = {a * len(words) + b for ids in coded for a, b in zip(ids, ids[1:])}
+        code = code.tolist()
+        pairs = {code[a] * len(words) + code[b] for ids in coded for a, b in zip(ids, ids[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
         self.singles = np.zeros(len(words) + 1, bool)
         sizes = {min(len(ids), self.window) for ids in coded}
         for ids in coded:
             if len(ids) == 1 or self.window == 1:
-                self.singles[ids] = True
+                self.singles[[code[i] for i in ids]] = True
         self.least = min((n for n in sizes if n > 1), default=0)
 
     def candidates(self, view: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
@@ -145,7 +145,7 @@ class SuffixAutomaton:
         maybe = np.flatnonzero(self.seen[h >> np.uint64(44)])
         at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
         known = self.hashes[at] == h[maybe]
-        code[maybe[known]] = self.numbers[at[known]]
+        code[maybe[known]] = at[known]
         found: list[tuple[int, int]] = []
         if self.singles.any():
             found += [(i, i + 1) for i in np.flatnonzero(self.singles[code] & (code >= 0)).tolist()]

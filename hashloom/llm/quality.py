@@ -104,7 +104,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
     got = sample.mapInArrow(extract, "doc_id long, label double, at array<int>, x array<float>").repartition(1).mapInArrow(learn, "w binary, bias double").first()
-    return np.frombuffer(bytes(got.w), np.float32), got.bias
+    return (np.frombuffer(bytes(got.w), np.float32), got.bias) if got else fit([])
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 4, out: int = 2, threshold: float = 0.7, bound: int = TRAIN_ROWS) -> DataFrame:

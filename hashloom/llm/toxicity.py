@@ -35,8 +35,10 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, CHAR_DIM, WORD_DIM = 8, 6, 4
 CHAR_BITS, WORD_BITS = 12, 13
 PREFIXES = (3, 4, 5, 6, 7, 8)
-LEAST_DOCS, SHRINK = 6, 4.0
-EPOCHS, BATCH, RATE = 8, 256, 0.01
+#: Documents that a word or beginning must be in: between these bounds, as one in 500 rows.
+LEAST_DOCS, MOST_LEAST_DOCS, SHRINK = 3, 6, 4.0
+#: Rounds over the sample; more, up to the second number, where it is small, for so many steps about.
+EPOCHS, MOST_EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 40, 100, 256, 0.01
 DIM = 2 + CHAR_DIM + WORD_DIM
 _MASKS = [np.uint64((1 << 8 * n) - 1) for n in range(9) if n < 8] + [np.uint64(0xFFFFFFFFFFFFFFFF)]
 
@@ -95,7 +97,7 @@ def _look(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: float) -
 
 
 def _log_odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every key in LEAST_DOCS documents or more: shrunk log odds of toxic documents, against the base rate."""
+    """For every key in enough documents: shrunk log odds of toxic documents, against the base rate."""
     some = h > 0
     keys, code = np.unique(h[some], return_inverse=True)
     pair = np.unique(code.astype(np.int64) * len(toxic) + doc[some])
@@ -104,7 +106,7 @@ def _log_odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray) -> tuple[np.nda
     all_ = np.bincount(key, minlength=len(keys))
     rate = toxic.mean()
     value = np.log((bad + SHRINK * rate) / (all_ - bad + SHRINK * (1 - rate))) - np.log(rate / (1 - rate))
-    keep = all_ >= LEAST_DOCS
+    keep = all_ >= min(MOST_LEAST_DOCS, max(LEAST_DOCS, len(toxic) // 500))
     return keys[keep], (np.clip(value[keep], -3, 6) / 3).astype(np.float32)
 
 
@@ -245,7 +247,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> dict:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     hope = np.append(known.fixed.max(axis=1), -9)[at].max(axis=1)
     step = 0
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, min(MOST_EPOCHS, LEAST_STEPS * BATCH // len(texts)))):
         if epoch:
             x = np.vstack((known.vectors(net), np.zeros((1, DIM), np.float32)))
             hope = logits(_gates(x, net), at, blank, net)
@@ -340,7 +342,7 @@ def train(sample: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], np.array([float(y > 0) for *_, y in rows])))], pa.binary())], names=["model"])
 
     got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("double").alias("label")).repartition(1).mapInArrow(learn, "model binary").first()
-    return pickle.loads(bytes(got.model))
+    return pickle.loads(bytes(got.model)) if got else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 5, out: int = 0, threshold: float = 0.5, bound: int = TRAIN_ROWS) -> DataFrame:
