@@ -4,9 +4,10 @@
     spark.read.format("cas_gateway").option("gateway", url).option("ids", "f0155...,f0155...").load()
     objects.write.format("cas_gateway").option("rpc", url).mode("append").save()
 
-Reading asks GET <gateway>/ipfs/<cid>, with a Range header for parts; writing
-posts to <rpc>/api/v0/add. Time-outs and connection errors are tried again with
-growing pauses; an HTTP status error is raised at once, except that Spark may
+Reading needs spark.sql.python.filterPushdown.enabled, so that a filter on cid can
+name the objects. It asks GET <gateway>/ipfs/<cid>, with a Range header for
+parts; writing posts to <rpc>/api/v0/add. Time-outs and connection errors are
+tried again with growing pauses; an HTTP status error is raised at once, except that Spark may
 run the task again, which is safe as content decides the id.
 """
 
