@@ -31,6 +31,8 @@ from hashloom.llm.shared import stored
 TRAIN_ROWS, WORDS, GRAMS = 20_000, 200_000, 50_000
 ORDERS = (4, 3, 2, 1)
 LEAST_COUNT, BACKOFF = 3, 1.5
+#: Text bytes counted at a time, and keys of one table that a task holds before it passes them on.
+COUNT_BYTES, HELD_KEYS = 1 << 18, 200_000
 _LETTER = np.array([chr(c).isalpha() and c < 0x80 or c >= 0x80 for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,23 +121,40 @@ class Model:
         return out
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
+def _counts(order: int, lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array([lang] * len(keys), pa.string()), pa.array(n.astype(np.int64))], names=["ord", "key", "lang", "n"])
+
+
 def train(sample: DataFrame) -> Model | None:
     """Count words and n-grams of (text, label) rows by language; the counts are summed by Spark, the largest are kept."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, limit=COUNT_BYTES):
                 pad, begin, end, doc = words(part.column("text"))
                 label = part.column("label").dictionary_encode()
-                lang = np.asarray(label.indices)[doc] if len(doc) else doc
-                names = label.dictionary
+                lang, names = np.asarray(label.indices)[doc], label.dictionary.to_pylist()
                 h = tb.mix(*tb.word_keys(tb.words64(pad), begin, end - begin))
                 word, hashes = grams(pad, begin, end - begin)
                 for order, key, own in ((0, h, lang), *((n, g, lang[word]) for n, g in zip(ORDERS, hashes))):
-                    own, key = own[key > 0], key[key > 0]
-                    for k in range(len(names)):
-                        keys, counts = np.unique(key[own == k], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array([names[k].as_py()] * len(keys), pa.string()), pa.array(counts.astype(np.int64))], names=["ord", "key", "lang", "n"])
+                    for k, name in enumerate(names):
+                        keys, n = np.unique(key[(own == k) & (key > 0)], return_counts=True)
+                        own_counts = held.setdefault((order, name), [])
+                        own_counts.append((keys, n))
+                        if sum(len(x) for x, _ in own_counts) > HELD_KEYS:
+                            merged = _merged(own_counts)
+                            if len(merged[0]) > HELD_KEYS // 2:
+                                yield _counts(order, name, *merged)
+                                merged = merged[0][:0], merged[1][:0]
+                            held[order, name] = [merged]
+        for (order, name), own_counts in held.items():
+            yield _counts(order, name, *_merged(own_counts))
 
     counts = sample.mapInArrow(count, "ord int, key long, lang string, n long").groupBy("ord", "key", "lang").agg(F.sum("n").alias("n"))
     by_key = counts.groupBy("ord", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).where(F.col("total") >= LEAST_COUNT)
