@@ -42,7 +42,7 @@ from hashloom.llm.shared import stored
 LENGTH, K = 200, 64
 REACH = LENGTH - K
 #: Rows of one anchor that one task sorts, at most; suffixes in one numpy round (about).
-GROUP, ROUND = 512, 400_000
+GROUP, ROUND = 8192, 400_000
 _POS = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 22
 _NO_ID = -(1 << 63)
