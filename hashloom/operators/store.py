@@ -20,6 +20,8 @@ OBJECTS = "cid string, codec string, data binary, n_bytes long, b0 int"
 CHUNKS = "array string, coords array<bigint>, ptr string, shard long, flush long"
 SHARDS = "array string, shard long, digest string, flush long"
 ROOTS = "flush long, array_shape array<bigint>, chunk_shape array<bigint>, chunks_per_shard long, root string"
+#: Of several values for one key in one version, the one with the greatest pointer counts.
+_ORDER = ("seq", "op", "ptr")
 
 
 class _Folder:
@@ -61,7 +63,7 @@ class MapStore(_Folder):
         return self._table("objects", OBJECTS)
 
     def view(self) -> DataFrame:
-        return maps.snapshot(self.log())
+        return maps.snapshot(self.log(), order=_ORDER)
 
     def root(self) -> str | None:
         """The digest that identifies the map's content; None for an empty map."""
@@ -91,7 +93,7 @@ class MapStore(_Folder):
         target = f"{self.path}/log/version={version}"
         changes.select(F.lit(version).cast("long").alias("seq"), "op", "key", "ptr").write.mode("overwrite").parquet(target)
         own = self.spark.read.schema("seq long, op string, key string, ptr string").parquet(target)
-        view = maps.snapshot(self.log().select("seq", "op", "key", "ptr").unionByName(own))
+        view = maps.snapshot(self.log().select("seq", "op", "key", "ptr").unionByName(own), order=_ORDER)
         root = trie.merkle(trie.layout(view)).where("node = ''").select("digest").first()
         row = [(version, root.digest if root else None, view.count())]
         self.spark.createDataFrame(row, VERSIONS).write.mode("append").parquet(f"{self.path}/versions")
