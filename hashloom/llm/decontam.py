@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import textbuf as tb
+from hashloom.llm.shared import bounded, texts
 
 #: Words are runs of these characters once A-Z are lower case.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -253,7 +254,7 @@ def _digest(items: set[int]) -> str:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, coverage."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     parts = [spark.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
     ``max_coverage`` of the words are hit goes as a whole. n_chars, where there is
     such a column, follows the new text.
     """
-    spark, result = docs.sparkSession, docs
+    spark, result = docs.sparkSession, bounded(docs)
     schema = docs.schema
     for automaton in automata(items, window, block_words):
         shared = spark.sparkContext.broadcast(automaton)

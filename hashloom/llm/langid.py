@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import sampling, textbuf as tb
-from hashloom.llm.shared import stored
+from hashloom.llm.shared import bounded, stored, texts
 
 #: Labelled documents that the frequencies are counted over, at most; entries in the tables, at most.
 TRAIN_ROWS, WORDS, GRAMS = 20_000, 200_000, 50_000
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, by: int = 3, out: int = 1, bound: int = TRAIN_ROWS
     labels = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held)
     model = train(sampling.labelled(docs, labels, "lang", bound))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("held_out", "lang_pred", "score") if keep else docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    base = bounded(docs).drop("held_out", "lang_pred", "score") if keep else texts(docs)
     base = base.withColumn("held_out", F.coalesce(held, F.lit(False)))
     names = [c for c in base.columns if keep or c != "text"]
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import graph, textbuf as tb, words
-from hashloom.llm.shared import ensure_checkpoint_dir, stored
+from hashloom.llm.shared import bounded, ensure_checkpoint_dir, stored
 
 THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard similarity is >= 0.8
 #: Members, and shingles, of one block at most (about).
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         bands[k] = row
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(text_key, pa.binary()), pa.array(set_key, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set_key", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key binary, set_key binary, n long, bands array<long>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key binary, set_key binary, n long, bands array<long>")
 
 
 def _links(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import sampling, textbuf as tb
+from hashloom.llm.shared import texts
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most.
@@ -124,4 +125,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return texts(docs).withColumn("held_out", F.coalesce(held, F.lit(False))).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import textbuf as tb
+from hashloom.llm.shared import bounded, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -103,7 +104,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(sha), pa.array([_joined(s) for s in found])], names=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redact_text(text: str, mask: str = "[redacted]") -> str:
@@ -128,4 +129,4 @@ def redact(docs: DataFrame, mask: str = "[redacted]") -> DataFrame:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Bytes of one Arrow batch that goes to a Python worker (a single longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -22,3 +25,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, with the session's Arrow batches bounded in bytes and not in rows only."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents."""
+    return bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))

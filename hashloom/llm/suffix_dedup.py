@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hashloom.llm import textbuf as tb
-from hashloom.llm.shared import stored
+from hashloom.llm.shared import bounded, stored
 
 LENGTH, K = 200, 64
 REACH = LENGTH - K
@@ -106,7 +106,7 @@ def anchor_rows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select("doc_id", text).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
+    return bounded(docs).select("doc_id", text).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
 
 
 def _anchored(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from hashloom.llm import textbuf as tb
+from hashloom.llm.shared import bounded, texts
 
 S, WIDTH = 6, 8
 K = S + WIDTH - 1
@@ -89,12 +90,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([to_hex(s) for s in sketches(texts)])], names=["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
     """(bucket, helper, key, doc_id, text): rows by ranges of doc_id; each range also gets, as a helper, the first row of the range that follows in descending order, the last one that of the first."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = keyed.select("key")
     rows = ids.count()
     n = min(MAX_RANGES, max(1, -(-rows // RANGE_ROWS)))

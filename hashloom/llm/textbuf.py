@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled by one round of array operations.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Words of up to so many bytes have exact 128-bit keys.
 KEY_BYTES = 15
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)

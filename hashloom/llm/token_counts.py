@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import pretokens as pt, textbuf as tb
 from hashloom.llm.bpe_codec import byte_letters
+from hashloom.llm.shared import texts
 
 #: Compiled states, and remembered token pairs, before they are dropped.
 MAX_STATES = 300_000
@@ -166,4 +167,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
