@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hashloom.llm import sampling, textbuf as tb, words
+from hashloom.llm import sampling, shared, textbuf as tb, words
 
 #: Labelled rows that the network is fitted on, at most.
 TRAIN_ROWS = 8000
@@ -43,14 +43,11 @@ DIM = 2 + CHAR_DIM + WORD_DIM
 _MASKS = [np.uint64((1 << 8 * n) - 1) for n in range(9) if n < 8] + [np.uint64(0xFFFFFFFFFFFFFFFF)]
 
 
-def _prefix_hashes(view: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """For each length the hash of the words' first bytes; 0 for shorter words."""
-    out = []
-    for n in PREFIXES:
-        h = tb.mix(view[begin] & _MASKS[n], np.full(1, n, np.uint64))
-        h[size < n] = 0
-        out.append(h)
-    return out
+def _prefix_hashes(view: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the words' first n bytes; 0 for shorter words."""
+    h = tb.mix(view[begin] & _MASKS[n], np.full(1, n, np.uint64))
+    h[size < n] = 0
+    return h
 
 
 def _trigrams(view: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +69,8 @@ class Words:
         self.fixed = np.zeros((len(h), 2), np.float32)
         self.fixed[:, 0] = _look(odds["word"], h, 0.0)
         best = np.full(len(h), -9.0, np.float32)
-        for p in _prefix_hashes(view, begin, size):
-            best = np.maximum(best, _look(odds["prefix"], p, -9.0))
+        for n in PREFIXES:
+            best = np.maximum(best, _look(odds["prefix"], _prefix_hashes(view, begin, size, n), -9.0))
         self.fixed[:, 1] = np.where(best > -9, best, 0)
         self.bucket = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         self.gram, self.owner = _trigrams(view, begin, size)
@@ -232,22 +229,26 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> dict:
     if not 0 < rate < 1:
         return model
     pad, begin, end, bounds = words.spans(pa.array(texts, pa.large_string()))
+    del texts
     view, size = tb.words64(pad), end - begin
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(bounds))
     h = tb.word_hashes(view, begin, size)
-    prefixes = _prefix_hashes(view, begin, size)
-    odds = {"word": _log_odds(doc, h, toxic), "prefix": _log_odds(np.tile(doc, len(prefixes)), np.concatenate(prefixes), toxic)}
+    parts = [_log_odds(doc, _prefix_hashes(view, begin, size, n), toxic) for n in PREFIXES]
+    keys, values = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    odds = {"word": _log_odds(doc, h, toxic), "prefix": (keys[order], values[order])}
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    del h, doc
     known = Words(odds, view, begin[first], size[first])
     blank = len(first)
     number = np.append(number, blank)
     at, owner = windows(bounds, len(number) - 1)
-    at = number[at]
+    at = number[at].astype(np.int32)
     net, r = initial(seed), np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     hope = np.append(known.fixed.max(axis=1), -9)[at].max(axis=1)
     step = 0
-    for epoch in range(max(EPOCHS, min(MOST_EPOCHS, LEAST_STEPS * BATCH // len(texts)))):
+    for epoch in range(max(EPOCHS, min(MOST_EPOCHS, LEAST_STEPS * BATCH // len(toxic)))):
         if epoch:
             x = np.vstack((known.vectors(net), np.zeros((1, DIM), np.float32)))
             hope = logits(_gates(x, net), at, blank, net)
@@ -348,14 +349,14 @@ def train(sample: DataFrame) -> dict:
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 5, out: int = 0, threshold: float = 0.5, bound: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; rows whose crc32 remainder is ``out`` are not learned from."""
     held = sampling.remainder("doc_id", by) == out
-    shared = docs.sparkSession.sparkContext.broadcast(train(sampling.labelled(docs, labels.where(~held), label, bound)))
+    model = docs.sparkSession.sparkContext.broadcast(train(sampling.labelled(docs, labels.where(~held), label, bound)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(model.value)
         for batch in batches:
             for part in tb.slices(batch):
                 p = scorer.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return shared.texts(docs).withColumn("held_out", F.coalesce(held, F.lit(False))).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
