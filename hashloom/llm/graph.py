@@ -7,27 +7,31 @@ from pyspark.sql import DataFrame, functions as F
 from hashloom.llm.shared import ensure_checkpoint_dir
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the least node it is connected with.
 
-    Each round hangs every node's larger neighbours, then its smaller ones,
-    under its least neighbour; with groupBy minima and joins only, so a node with
-    any number of edges is no burden for one task. The rounds end when the edges
-    are stars, after a number that grows with the logarithm of the longest path.
+    Each round hangs every node's larger neighbours, then its smaller ones, under
+    its least neighbour; with groupBy minima and joins only. The minima of the
+    first step are checkpointed, so that both sides of its join are shuffles and
+    adaptive execution can split the rows of a node with very many edges. The
+    rounds end when the edges are stars, after a number that grows with the
+    logarithm of the longest path.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct().checkpoint()
-    seen = None
-    for _ in range(rounds):
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = small.where("u > v").distinct().checkpoint()
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node at most, which then has none itself."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    passed_on = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return several.unionByName(passed_on).isEmpty()
