@@ -36,7 +36,7 @@ from hashloom.llm.shared import bounded, ensure_checkpoint_dir, stored
 
 THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard similarity is >= 0.8
 #: Members, and shingles, of one block at most (about).
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Up to so many candidate ids are sent to the tasks that read the texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
