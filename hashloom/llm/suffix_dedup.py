@@ -234,7 +234,8 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     kind, arrow_kind = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     docs = _keyed(docs)
     rows = _anchored(docs)
-    often = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    # Stored, so that both sides of the join are shuffles and a hot anchor's rows can be split.
+    often = stored(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
     shared = stored(rows.join(often, "key"))
     kinds = stored(shared.groupBy("key", "whole").agg(F.count("*").alias("times"), F.min(F.struct("id", "version", "run")).alias("one")))
     full = shared.join(kinds.where("times > 1").select("key", "whole"), ["key", "whole"])
