@@ -223,6 +223,25 @@ def test_novel_strings():
     assert not secret_scan.all_spans(f"an ordinary sentence with {key} and nothing sensitive")
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"]),
+        ("PRIVATE_KEY=Ab3dEf6hIj9kLm2nOp5qRs==\nNAME=x", ["Ab3dEf6hIj9kLm2nOp5qRs=="]),
+        ("https://x.org/a?signature=Zx81Qp0vNn3Lm7Yt5Rk2&credential=Jq7Wd2Ht9Xs4Bv6Kc1Gf", ["Zx81Qp0vNn3Lm7Yt5Rk2", "Jq7Wd2Ht9Xs4Bv6Kc1Gf"]),
+        ("credential: AuthenticationService Ab3dEf6hIj9kLm2nOp5q", ["Ab3dEf6hIj9kLm2nOp5q"]),
+        ("bearer QzXwVkPmJrTnBsHgLdYf", ["QzXwVkPmJrTnBsHgLdYf"]),
+        ("credential_Ab3dEf6hIj9kLm2nOp5q", ["Ab3dEf6hIj9kLm2nOp5q"]),
+        ("the bearer of internationalization, responsibilities and recommendations", []),
+        ("the signature of getAuthenticationTokenProviderFactory in /usr/local/lib/python/site-packages/authentication", []),
+        ("credential\nAb3dEf6hIj9kLm2nOp5q " + "and more words than are " * 2 + "Ab3dEf6hIj9kLm2nOp5q", []),
+    ],
+)
+def test_novel_candidates(text, want):
+    assert [text[a:b] for a, k, b in secret_scan.all_spans(text) if k == 3] == want
+    assert not any(w in secret_scan.redact_text(text) for w in want)
+
+
 def test_slices_keep_all_rows():
     from hashloom.llm import textbuf as tb
 
