@@ -4,12 +4,14 @@ Three patterns give the base spans. Beside them, every run of key characters
 within reach of a sensitive word is a candidate: zstandard is primed with an
 identifier dictionary and the text around the candidate, and the candidate's
 marginal bytes are what it adds to the compressed size. Identifiers and prose
-repeat what stands around them or in the dictionary; a random key does not. A
-candidate that stays at ``NOVELTY`` bytes a character or more is reported as
+repeat what stands around them or in the dictionary; a random key does not. Long
+candidates are measured in overlapping pieces of ``PIECE`` characters, and one
+with a piece of ``NOVELTY`` bytes a character or more is reported whole as
 ``novel``. Whole texts are scanned; a candidate's surroundings are bounded.
 
 Cases: a null text counts as empty and has no spans; overlapping spans of
-different kinds are all reported, but a novel span never overlaps another; extra
+different kinds are all reported, but a novel span never overlaps another (of a
+candidate that a base span overlaps, the rest is reported); extra
 columns are ignored by ``scan`` and kept by ``redact``.
 """
 
@@ -46,6 +48,8 @@ _NEAR_WORDS = ("secret", "token", "passw", "passphrase", "key", "credential", "b
 REACH, LEAST = 40, 16
 #: Marginal compressed bytes a character from which a candidate is reported; characters of its surroundings on each side.
 NOVELTY, AROUND = 0.85, 512
+#: Characters of a piece, of which the next has half: below 64 literals zstandard stores them plain, so size tells repetition and not the alphabet.
+PIECE = 32
 #: Lower case, as candidates and their surroundings are when they are measured: letters alone do not tell a key from a long word.
 IDENTIFIERS = (
     b"able ably ance ation ational ations ative ment ments ness ship ship tion tions sion ity ities ability ibility ization isation ology ological ography graphic graphical istic istically ously fully "
@@ -85,6 +89,17 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(packer.compress(candidate.lower().encode())) - len(packer.compress(b""))) / len(candidate)
 
 
+def novel(text: str, a: int, b: int) -> bool:
+    """Whether a piece of the run is novel, beside what stands before the piece and behind the run."""
+    after, seen = text[b : b + AROUND], set()
+    for k in (*range(a, b - PIECE, PIECE // 2), max(a, b - PIECE)):
+        piece = text[k : min(k + PIECE, b)]
+        if piece not in seen and novelty(piece, text[max(0, k - AROUND) : k], after) >= NOVELTY:
+            return True
+        seen.add(piece)
+    return False
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs of key characters within reach of a sensitive word; of a run that has the word in itself, what follows the word."""
     out, near = [], [m.end() for m in _NEAR.finditer(text)]
@@ -112,10 +127,14 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
         return out
     base = list(out)
     for a, b in candidates(text):
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if novelty(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
-            out.append((a, 3, b))
+        parts, at = [], a  # a base span inside a key does not hide the rest of the key
+        for s, _, e in base:
+            if s < b and at < e:
+                parts.append((at, s))
+                at = e
+        parts = [(x, y) for x, y in (*parts, (at, b)) if x < y]
+        if parts and novel(text, a, b):
+            out += [(x, 3, y) for x, y in parts]
     return sorted(out)
 
 

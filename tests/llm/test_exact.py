@@ -242,6 +242,23 @@ def test_novel_candidates(text, want):
     assert not any(w in secret_scan.redact_text(text) for w in want)
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"])
+def test_novel_strings_of_any_length(alphabet):
+    r = random.Random(9)
+    for n in (20, 33, 64, 200, 401, 600, 1000, 1600, 4000):
+        for _ in range(10):
+            key = "".join(r.choices(alphabet, k=n))
+            assert secret_scan.redact_text(f"the bearer credential is {key} for now").replace("[redacted]", "") == "the bearer credential is  for now"
+    assert not secret_scan.all_spans("the bearer credential is " + "account_settings_config_default1-" * 100)
+
+
+def test_novel_string_around_a_base_span():
+    key = "F3A90C71E5B82D64" * 2 + "7" * 24 + "9E0B4D72C8A1563F" * 2
+    text = f"the bearer credential is {key} for now"
+    assert [k for _, k, _ in secret_scan.all_spans(text)] == [3, 2, 3]
+    assert secret_scan.redact_text(text).replace("[redacted]", "") == "the bearer credential is  for now"
+
+
 def test_slices_keep_all_rows():
     from hashloom.llm import textbuf as tb
 
