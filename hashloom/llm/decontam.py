@@ -14,7 +14,7 @@ are treated row by row; extra columns of either input are ignored by
 ``contamination`` and kept by ``decontaminate``; empty tables give empty
 results. An item table of any size works: beyond ``block_words`` words it is cut
 into blocks with an automaton each (bounded broadcasts), and the documents are
-read once for each block.
+scanned once for each block.
 """
 
 from __future__ import annotations
@@ -308,33 +308,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
     A run of hit words that is longer than ``max_span`` words is cut out of the
     text with what stands between its words; a document of which more than
     ``max_coverage`` of the words are hit goes as a whole. n_chars, where there is
-    such a column, follows the new text.
+    such a column, follows the new text. With several blocks of items, the hit
+    words of all blocks are put together before a document is judged and cut.
     """
-    spark, result = docs.sparkSession, bounded(docs)
-    schema = docs.schema
-    for automaton in automata(items, window, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
+    parts = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in tb.slices(batch):
-                    texts, keep = [], []
-                    whole = part.column("text").to_pylist()
-                    for text, (n, hit, _, begin, end) in zip(whole, _scan(part.column("text"), shared.value)):
-                        keep.append(not n or len(hit) <= max_coverage * n)
-                        if len(hit) and keep[-1]:
-                            raw, out, at = text.encode(), [], 0
-                            cuts = np.flatnonzero(np.diff(hit) > 1)
-                            for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(hit) - 1]))):
-                                if b - a + 1 > max_span:
-                                    out.append(raw[at : begin[hit[a]]])
-                                    at = end[hit[b]]
-                            text = b"".join([*out, raw[at:]]).decode()
-                        texts.append(text)
-                    columns = {f.name: part.column(f.name) for f in part.schema} | {"text": pa.array(texts, part.schema.field("text").type)}
-                    if "n_chars" in columns:
-                        columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field("n_chars").type)
-                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
-
-        result = result.mapInArrow(run, schema)
-    return result
+    def found(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``_scan`` without the items, over all blocks."""
+        rows = [(n, [hit], begin, end) for n, hit, _, begin, end in _scan(column, parts[0].value)]
+        for shared in parts[1:]:
+            for (_, hits, _, _), (_, hit, _, _, _) in zip(rows, _scan(column, shared.value)):
+                hits.append(hit)
+        for n, hits, begin, end in rows:
+            yield n, np.unique(np.concatenate(hits)), begin, end
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tb.slices(batch):
+                texts, keep = [], []
+                whole = part.column("text").to_pylist()
+                for text, (n, hit, begin, end) in zip(whole, found(part.column("text"))):
+                    keep.append(not n or len(hit) <= max_coverage * n)
+                    if len(hit) and keep[-1]:
+                        raw, out, at = text.encode(), [], 0
+                        cuts = np.flatnonzero(np.diff(hit) > 1)
+                        for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(hit) - 1]))):
+                            if b - a + 1 > max_span:
+                                out.append(raw[at : begin[hit[a]]])
+                                at = end[hit[b]]
+                        text = b"".join([*out, raw[at:]]).decode()
+                    texts.append(text)
+                columns = {f.name: part.column(f.name) for f in part.schema} | {"text": pa.array(texts, part.schema.field("text").type)}
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
+
+    return bounded(docs).mapInArrow(cut, docs.schema)

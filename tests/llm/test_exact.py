@@ -71,6 +71,20 @@ def test_decontaminate(spark, nasty, empty):
     assert decontam.decontaminate(empty, items).isEmpty()
 
 
+@pytest.mark.parametrize("block_words", [60, 25])
+def test_decontaminate_in_blocks(spark, block_words):
+    r = random.Random(12)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(4)] + [(4, " ".join([f"i0w{k}" for k in range(25, 30)] + [f"j{k}" for k in range(20)])), (5, " ".join([f"i2w{k}" for k in range(22, 30)] + [f"i3w{k}" for k in range(8)]))]
+    clean = lambda n: " ".join(r.choices(["some", "clean", "words", "here"], k=n))
+    docs = [(1, f"{items[0][1]} {clean(40)} {items[1][1]}"), (2, f"{clean(60)} {items[0][1]} {items[4][1][25:]} {clean(60)}"), (3, f"{clean(40)} {items[2][1]} {items[3][1]} {clean(40)}"), (3, clean(9)), (4, None), (5, "")]
+    for i in range(6, 40):
+        docs.append((i, " ".join(x for _ in range(4) for x in (clean(r.randint(0, 30)), " ".join(r.choice(items)[1].split()[r.randint(0, 9) : r.randint(12, 30)])))))
+    frames = spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "doc_id long, text string, hit int"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.decontaminate(*frames).collect()), key=lambda x: x[2])
+    assert sorted(map(tuple, decontam.decontaminate(*frames, block_words=block_words).collect()), key=lambda x: x[2]) == want
+    assert 1 not in {w[0] for w in want} and len(want) > 10
+
+
 @pytest.fixture(scope="module")
 def texts():
     r = random.Random(1)
