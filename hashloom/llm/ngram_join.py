@@ -17,8 +17,9 @@
 
 Cases: a null text counts as empty; texts without words are linked to nothing and
 share a class with equal texts only; texts of fewer than five words have one
-shingle; a row with a null doc_id takes the class of equal rows that have an id,
-else its class is null; extra columns are ignored by ``near_links`` and kept by
+shingle; ids need not be unique or known, as texts are told apart by their own
+hashes (a set by 64 bits of one); a class none of whose rows has a doc_id has a
+null class_id; extra columns are ignored by ``near_links`` and kept by
 ``one_per_class``.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hashloom.llm import graph, textbuf as tb, words
 from hashloom.llm.shared import bounded, ensure_checkpoint_dir, stored
@@ -68,16 +69,25 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _text_hash(docs: DataFrame) -> Column:
+    """A hash of the text that joins can use, beside text_key."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def _text_keys(column: pa.Array) -> list[bytes]:
+    raw, off = tb.buffers(column)
+    data = raw.tobytes()
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, set_key, n (shingles) and bands of every document."""
+    """doc_id, text_hash, text_key, set_key, node (of set_key), n (shingles) and bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch):
                 column = part.column("text")
-                raw, off = tb.buffers(column)
-                data = raw.tobytes()
-                text_key = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                text_key = _text_keys(column)
                 sets = words.shingle_sets(column)
                 set_key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else t for s, t in zip(sets, text_key)]
                 some = [k for k, s in enumerate(sets) if len(s)]
@@ -85,9 +95,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if some:
                     for k, row in zip(some, band_hashes([sets[k] for k in some]).view(np.int64)):
                         bands[k] = row
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(text_key, pa.binary()), pa.array(set_key, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set_key", "n", "bands"])
+                node = [int.from_bytes(k[:8], "little", signed=True) for k in set_key]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(text_key, pa.binary()), pa.array(set_key, pa.binary()), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "text_key", "set_key", "node", "n", "bands"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key binary, set_key binary, n long, bands array<long>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash(docs).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, text_key binary, set_key binary, node long, n long, bands array<long>")
 
 
 def _links(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -135,52 +146,80 @@ def _links(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, cross:
 
 
 def _clustered(sets: DataFrame) -> DataFrame:
-    """(rep, cluster): candidates of one another, from shared band hashes."""
-    rows = sets.where("n > 0 and rep is not null").select("rep", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("band", "head")
-    edges = rows.join(heads, "band").where("rep > head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
-    return graph.components(edges).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    """(node, cluster): candidates of one another, from shared band hashes."""
+    rows = sets.where("n > 0").select("node", F.explode("bands").alias("band"))
+    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
+    edges = rows.join(heads, "band").where("node > head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    return graph.components(edges).select("node", F.col("root").alias("cluster"))
 
 
 def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(rep, links, root) rows of the groups; several a set where its cluster has several blocks."""
-    members = sets.select("rep", "n", "n_texts").join(clusters, "rep").checkpoint()
+    """(node, links, root) rows of the groups; several a set where its cluster has several blocks."""
+    members = sets.select("node", "n", "n_texts", "of").join(clusters, "node").checkpoint()
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.select("rep", "n_texts", "cluster", "block", "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "rep")
+    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.select("node", "n_texts", "cluster", "block", "blocks", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"), F.col("of.text_key").alias("of_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _text_hash(docs).alias("text_hash"))
+    joined = texts.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, texts["doc_id"].eqNullSafe(members["of_id"]) & (texts["text_hash"] == members["of_hash"]))
+    joined = joined.select("node", "n_texts", "cluster", "block", "blocks", "of_key", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch):
+                part = part.filter(pa.array([a == b for a, b in zip(_text_keys(part.column("text")), part.column("of_key").to_pylist())], pa.bool_()))
+                if not part.num_rows:
+                    continue
                 sets_ = [s.tobytes() for s in words.shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "n_texts", "cluster", "block", "blocks")), pa.array(sets_, pa.binary())], names=["rep", "n_texts", "cluster", "block", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n_texts", "cluster", "block", "blocks")), pa.array(sets_, pa.binary())], names=["node", "n_texts", "cluster", "block", "blocks", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, rows: list) -> pa.RecordBatch:
-            rows = sorted({r[0]: r for r in rows}.values())  # a doc_id that is not unique counts once
-            rep = np.array([r[0] for r in rows], np.int64)
+        def done(key: tuple, rows: dict) -> pa.RecordBatch:
+            rows = sorted(rows.values())
+            node = np.array([r[0] for r in rows], np.int64)
             links, root = _links([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows]), key[1] != key[2])
-            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links.astype(np.int64)), pa.array(rep[root]), pa.array([key[3] > 1] * len(rep))], names=["rep", "links", "root", "parts"])
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(node[root]), pa.array([key[3] > 1] * len(node))], names=["node", "links", "root", "parts"])
 
-        key, rows = None, []
+        key, rows = None, {}
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            for k, row in enumerate(zip(columns["rep"], columns["n_texts"], columns["shingles"], columns["block"])):
+            for k, row in enumerate(zip(columns["node"], columns["n_texts"], columns["shingles"], columns["block"])):
                 own = (columns["cluster"][k], columns["left"][k], columns["right"][k], columns["blocks"][k])
                 if own != key:
                     if rows:
                         yield done(key, rows)
-                    key, rows = own, []
-                rows.append(row)
+                    key, rows = own, {}
+                rows[row[0]] = row  # a text that is repeated counts once
         if rows:
             yield done(key, rows)
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    groups = joined.mapInArrow(shingles, "rep long, n_texts long, cluster long, block int, blocks int, shingles binary").select("*", other)
-    groups = groups.select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks", "rep", "n_texts", "block", "shingles")
-    return groups.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right").mapInArrow(compare, "rep long, links long, root long, parts boolean")
+    groups = joined.mapInArrow(shingles, "node long, n_texts long, cluster long, block int, blocks int, shingles binary").select("*", other)
+    groups = groups.select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks", "node", "n_texts", "block", "shingles")
+    return groups.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right").mapInArrow(compare, "node long, links long, root long, parts boolean")
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text_key, root (of the class), class_id, set_id and n_links of every document."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    signed = signatures(docs).checkpoint()
+    by_text = signed.groupBy("node", "set_key", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "text_hash")).alias("of")
+    sets = by_text.groupBy("node", "set_key").agg(of, F.count("*").alias("n_texts"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = sets.checkpoint()
+    found = _verified(docs, sets, _clustered(sets)).checkpoint()
+    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    apart = found.where("parts and node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if not apart.isEmpty():  # clusters of several blocks: their groups' components are put together
+        whole = graph.components(apart)
+        links = links.join(whole.select("node", F.col("root").alias("whole")), "node", "left").select("node", "links", F.coalesce("whole", "root").alias("root"))
+    ids = sets.select("node", "set_key", F.col("of.doc_id").alias("set_id"), "n_texts")
+    least = links.join(ids, "node").groupBy("root").agg(F.min("set_id").alias("least"))
+    links = links.join(least, "root").select("node", "links", "root", "least").checkpoint()
+    of_set = ids.join(links, "node", "left").select(
+        "node", "set_key", "set_id", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("set_id")).otherwise(F.col("least")).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"),
+    )
+    return signed.select("doc_id", "text_hash", "text_key", "node", "set_key").join(of_set, ["node", "set_key"]).drop("node", "set_key")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
@@ -190,31 +229,28 @@ def near_links(docs: DataFrame) -> DataFrame:
     least doc_id of all documents connected by links, ``n_links`` the number of
     different other texts whose similarity is 0.8 or more.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    signed = signatures(docs).checkpoint()
-    by_text = signed.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    sets = by_text.groupBy("set_key").agg(F.min("rep").alias("rep"), F.count("*").alias("n_texts"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    sets = sets.checkpoint()
-    found = _verified(docs, sets, _clustered(sets)).checkpoint()
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    apart = found.where("parts and rep > root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
-    if not apart.isEmpty():  # clusters of several blocks: their groups' components are put together
-        whole = graph.components(apart)
-        links = links.join(whole.select(F.col("node").alias("rep"), F.col("root").alias("whole")), "rep", "left").select("rep", "links", F.coalesce("whole", "root").alias("root"))
-    of_set = sets.join(links, "rep", "left").select("set_key", F.col("rep").alias("set_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
-    return signed.select("doc_id", "set_key").join(of_set, "set_key").select("doc_id", "class_id", "set_id", "n_links")
+    return _linked(docs).select("doc_id", "class_id", "set_id", "n_links")
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """The documents of which each near-duplicate class keeps the one with the least doc_id.
 
-    Of repeated rows (one doc_id and text) one stays. Rows with a null doc_id stay.
+    Of several texts with that doc_id, or where no row of the class has one, the
+    text with the least hash stays. Of repeated rows (one doc_id and text) one stays.
     """
-    found = stored(near_links(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("times")).where("class_id < doc_id or times > 1"))
-    gone = found.where("class_id < doc_id").select("doc_id")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("class_id >= doc_id").select("doc_id")
+    rows = stored(_linked(docs).groupBy("doc_id", "text_hash", "text_key", "root").agg(F.count("*").alias("times")))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"), F.sum("times").alias("n")).where("n > 1")
+    found = stored(rows.join(best, "root").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays"), "times").where("not stays or times > 1"))
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].cast("long").eqNullSafe(right["gone_id"]) & (_text_hash(left) == right["gone_hash"])
+
+    keys = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
+    gone = found.where("not stays").select(*keys)
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same(docs, gone), "left_anti").select(docs.columns)
+    again = found.where("stays").select(*keys)
     if again.isEmpty():
         return kept
-    single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    single = kept.join(again, same(kept, again), "left_anti").select(docs.columns)
+    several = kept.join(again, same(kept, again), "left_semi").select("*", _text_hash(kept).alias("text_hash of row")).dropDuplicates(["doc_id", "text_hash of row"])
+    return single.unionByName(several.select(docs.columns))

@@ -177,6 +177,20 @@ def test_near_links_in_blocks(spark, monkeypatch):
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(classes)
 
 
+def test_near_links_of_repeated_and_null_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:59] + ["z"])
+    other = " ".join(f"v{k}" for k in range(60))
+    lone = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    docs = [(1, " ".join(base)), (2, near), (2, lone[0]), (3, other), (3, other + " end"), (None, lone[1]), (None, lone[1]), (None, lone[1] + " end"), (None, near), (None, lone[2]), (4, lone[2] + " end")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in ngram_join.near_links(frame).collect())
+    assert got == sorted([("1", "1", 1), ("2", "1", 1), ("2", "2", 0), ("3", "3", 1), ("3", "3", 1), *[("None", "None", 1)] * 3, ("None", "1", 1), ("None", "4", 1), ("4", "4", 1)])
+    kept = [tuple(x) for x in ngram_join.one_per_class(frame).collect()]
+    assert len(kept) == 5 and {(1, docs[0][1]), (2, lone[0]), (4, lone[2] + " end")} <= set(kept)
+    assert [i for i, t in kept if t.startswith("v0 ")] == [3] and [i for i, t in kept if t.startswith("b0 ")] == [None]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(90)] + [(5, 5)]
