@@ -3,24 +3,27 @@
 1. Each text becomes its set of five-word shingles, and ``BANDS`` hashes of
    ``ROWS`` MinHash values each. Rows with equal sets are collapsed first, so
    copies cost nothing further on.
-2. The band hashes are shuffled. Sets that share one are candidates; they are
-   put into clusters (connected components of the shared bands), so that every
-   candidate pair lies within one cluster and is verified once, however many
-   bands it shares.
-3. Clusters are verified on the full sets. A large cluster is cut into blocks of
-   bounded size and every pair of blocks is a group of its own; the pairs
-   themselves never become rows: a group gives, for each member, the number of
-   texts linked to it and its least linked member.
+2. The band hashes are shuffled. Sets that share one are candidates. Each pair of
+   candidates is compared in one group just once, though it may share many bands:
+   sets that share ``STRONG`` bands with one another's least set form clusters (so
+   a family of copies is one group and not one for each band), and a band whose
+   sets lie in several clusters is a group of its own, for the pairs across
+   clusters that share no such band before. Weak matches do not chain clusters.
+3. Groups are verified on the full sets. A large group is cut into blocks of
+   bounded size and every pair of blocks is compared apart; the pairs themselves
+   never become rows: a group gives, for each member, the number of texts linked
+   to it and its least linked member.
+4. Classes are the connected components of these verified links.
 
 ``band_plan`` chooses bands and rows for the wanted recall at the threshold: with
-25 bands of 5 rows a pair at 0.8 is missed with a probability of 5e-5.
+35 bands of 5 rows a pair at 0.8 is missed with a probability of 1e-6.
 
 Cases: a null text counts as empty; texts without words are linked to nothing and
 share a class with equal texts only; texts of fewer than five words have one
-shingle; ids need not be unique or known, as texts are told apart by their own
-hashes (a set by 64 bits of one); a class none of whose rows has a doc_id has a
-null class_id; extra columns are ignored by ``near_links`` and kept by
-``one_per_class``.
+shingle; ids need not be unique or known and can be of any type that has an
+order, as texts are told apart by their own hashes (a set by 64 bits of one); a
+class none of whose rows has a doc_id has a null class_id; extra columns are
+ignored by ``near_links`` and kept by ``one_per_class``.
 """
 
 from __future__ import annotations
@@ -33,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hashloom.llm import graph, textbuf as tb, words
-from hashloom.llm.shared import bounded, ensure_checkpoint_dir, stored
+from hashloom.llm.shared import bounded, stored
 
 THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard similarity is >= 0.8
-#: Members, and shingles, of one block at most (about).
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Bands of ``BANDS`` that a set shares with the least set of those bands if both are to be in one cluster; decides where pairs are compared, not which.
+STRONG = 10
+#: A group is cut into about BLOCKS blocks, of LEAST_BLOCK to BLOCK_SETS members and (about) BLOCK_SHINGLES shingles at most.
+BLOCKS, LEAST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 24, 64, 1024, 1_000_000
 #: Up to so many candidate ids are sent to the tasks that read the texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
 
-def band_plan(threshold: float = 0.8, recall: float = 0.9999, rows: int = 5) -> tuple[int, int]:
+def band_plan(threshold: float = 0.8, recall: float = 0.999999, rows: int = 5) -> tuple[int, int]:
     """Bands and rows a band, so that a pair at the threshold shares a band with at least this probability."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows))), rows
 
@@ -82,6 +87,7 @@ def _text_keys(column: pa.Array) -> list[bytes]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, text_key, set_key, node (of set_key), n (shingles) and bands of every document."""
+    names = ["doc_id", "text_hash", "text_key", "set_key", "node", "n", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,17 +102,20 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for k, row in zip(some, band_hashes([sets[k] for k in some]).view(np.int64)):
                         bands[k] = row
                 node = [int.from_bytes(k[:8], "little", signed=True) for k in set_key]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(text_key, pa.binary()), pa.array(set_key, pa.binary()), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "text_key", "set_key", "node", "n", "bands"])
+                own = [pa.array(text_key, pa.binary()), pa.array(set_key, pa.binary()), pa.array(node, pa.int64())]
+                own += [pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *own], names=names)
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash(docs).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, text_key binary, set_key binary, node long, n long, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), _text_hash(docs).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, text_key binary, set_key binary, node long, n long, bands array<long>")
 
 
-def _links(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For members of one group: weight of linked members, and the least member (by place) of its linked component. ``cross``: only pairs across the two blocks count."""
+def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
     m = len(sets)
-    size = np.array([len(s) for s in sets])
     _, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), size)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
     df = np.bincount(place)
     shared = np.zeros((m, m), np.float32)
     often = df > max(8, m // 16)
@@ -128,98 +137,133 @@ def _links(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, cross:
     while True:  # pairs of owners of one shingle that stand ``step`` apart
         same = np.flatnonzero(p[step:] == p[:-step]) if len(p) > step else []
         if not len(same):
-            break
+            return shared
         pair = np.bincount(o[same] * m + o[same + step], minlength=m * m).reshape(m, m)
         shared += pair + pair.T
         step += 1
-    linked = 9 * shared >= THRESHOLD_9 * (size[:, None] + size[None, :])
-    np.fill_diagonal(linked, False)
-    if cross:
-        linked &= block[:, None] != block[None, :]
+
+
+def _least_linked(linked: np.ndarray) -> np.ndarray:
+    """The least member, by place, of each member's linked component."""
+    m = len(linked)
     root = np.arange(m)
     while True:
         least = np.minimum(root, np.where(linked, root[None, :], m).min(axis=1))
         least = least[least]
         if np.array_equal(least, root):
-            return linked @ weight, root
+            return root
         root = least
 
 
-def _clustered(sets: DataFrame) -> DataFrame:
-    """(node, cluster): candidates of one another, from shared band hashes."""
-    rows = sets.where("n > 0").select("node", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
-    edges = rows.join(heads, "band").where("node > head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    return graph.components(edges).select("node", F.col("root").alias("cluster"))
+def _seen_before(group: int, bands: list[list[int]]) -> np.ndarray:
+    """Which two members also share a band group with a lower number, where they are compared already."""
+    lower = [(k, g) for k, own in enumerate(bands) for g in own if g < group]
+    seen = np.zeros((len(bands), len({g for _, g in lower})), np.float32)
+    if lower:
+        _, column = np.unique([g for _, g in lower], return_inverse=True)
+        seen[[k for k, _ in lower], column] = 1
+    return seen @ seen.T > 0
 
 
-def _verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(node, links, root) rows of the groups; several a set where its cluster has several blocks."""
-    members = sets.select("node", "n", "n_texts", "of").join(clusters, "node").checkpoint()
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.select("node", "n_texts", "cluster", "block", "blocks", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"), F.col("of.text_key").alias("of_key"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _text_hash(docs).alias("text_hash"))
-    joined = texts.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, texts["doc_id"].eqNullSafe(members["of_id"]) & (texts["text_hash"] == members["of_hash"]))
-    joined = joined.select("node", "n_texts", "cluster", "block", "blocks", "of_key", "text")
+def _clusters(inside: DataFrame) -> DataFrame:
+    """(node, root) of the sets that share ``STRONG`` bands with the least set of each."""
+    strong = inside.where("node > head").groupBy("node", "head").agg(F.count("*").alias("times")).where(F.col("times") >= STRONG)
+    return graph.components(strong.select(F.col("node").alias("u"), F.col("head").alias("v")))
+
+
+def _groups(sets: DataFrame) -> DataFrame:
+    """(node, cluster, bands, groups): for each candidate its cluster, its bands that reach over clusters, and all its groups with their numbers of blocks."""
+    rows = sets.where("n > 0").select("node", "n", F.explode("bands").alias("band"))
+    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
+    inside = stored(rows.join(heads, "band"))
+    clusters = _clusters(inside).select("node", "root")
+    placed = stored(inside.join(clusters, "node", "left").select("node", "n", "band", F.coalesce("root", "node").alias("cluster")))
+    members = [F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all")]
+    across = placed.groupBy("band").agg(F.min("cluster").alias("c"), F.max("cluster").alias("d"), *members).where("c < d")
+    across = across.groupBy("size", "low", "high", "all").agg(F.min("band").alias("band")).select("band", F.lit(True).alias("own"))  # bands of the same sets are one group
+    of_node = placed.join(across, "band", "left").groupBy("node", "n", "cluster").agg(F.sort_array(F.collect_set(F.when(F.col("own"), F.col("band")))).alias("bands"))
+    of_node = stored(of_node)
+    parts = of_node.select("node", "n", F.col("cluster").alias("group"), F.lit(False).alias("across")).unionByName(of_node.select("node", "n", F.explode("bands").alias("group"), F.lit(True).alias("across")))
+    block = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("size") / BLOCKS)))
+    sizes = parts.groupBy("group", "across").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    sizes = stored(sizes.select("group", "across", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    lists = parts.join(sizes, ["group", "across"]).groupBy("node").agg(F.collect_list(F.struct("group", "across", "blocks")).alias("groups"))
+    return of_node.select("node", "cluster", "bands").join(lists, "node")
+
+
+def _verified(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, links, root) rows: of each part of a group, its members with the texts linked to them and the least member of their linked component."""
+    of = [F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"), F.col("of.text_key").alias("of_key")]
+    members = stored(sets.select("node", "n_texts", "of").join(_groups(sets), "node").select("node", "n_texts", "cluster", "bands", "groups", *of))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _text_hash(docs).alias("text_hash"))
+    few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    joined = texts.join(few, texts["doc_id"].eqNullSafe(few["of_id"]) & (texts["text_hash"] == few["of_hash"]))
+    names = ["node", "n_texts", "cluster", "bands", "groups"]
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch):
                 part = part.filter(pa.array([a == b for a, b in zip(_text_keys(part.column("text")), part.column("of_key").to_pylist())], pa.bool_()))
-                if not part.num_rows:
-                    continue
-                sets_ = [s.tobytes() for s in words.shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n_texts", "cluster", "block", "blocks")), pa.array(sets_, pa.binary())], names=["node", "n_texts", "cluster", "block", "blocks", "shingles"])
+                if part.num_rows:
+                    sets_ = [s.tobytes() for s in words.shingle_sets(part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets_, pa.binary())], names=[*names, "shingles"])
+
+    def compared(key: tuple, rows: dict) -> pa.RecordBatch:
+        group, across, left, right = key
+        rows = sorted(rows.values(), key=lambda r: r[0])
+        node, weight, cluster, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        sets_ = [np.frombuffer(r[5], np.uint64) for r in rows]
+        size = np.array([len(s) for s in sets_])
+        linked = 9 * shared_shingles(sets_) >= THRESHOLD_9 * (size[:, None] + size[None, :])
+        np.fill_diagonal(linked, False)
+        if left != right:
+            linked &= block[:, None] != block[None, :]
+        if across:
+            linked &= (cluster[:, None] != cluster[None, :]) & ~_seen_before(group, [r[4] for r in rows])
+        links = (linked @ weight).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[_least_linked(linked)])], names=["node", "links", "root"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, rows: dict) -> pa.RecordBatch:
-            rows = sorted(rows.values())
-            node = np.array([r[0] for r in rows], np.int64)
-            links, root = _links([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows]), key[1] != key[2])
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(node[root]), pa.array([key[3] > 1] * len(node))], names=["node", "links", "root", "parts"])
-
         key, rows = None, {}
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            for k, row in enumerate(zip(columns["node"], columns["n_texts"], columns["shingles"], columns["block"])):
-                own = (columns["cluster"][k], columns["left"][k], columns["right"][k], columns["blocks"][k])
-                if own != key:
+            columns = [batch.column(c).to_pylist() for c in ("group", "across", "left", "right", "node", "n_texts", "cluster", "block", "bands", "shingles")]
+            for row in zip(*columns):
+                if row[:4] != key:
                     if rows:
-                        yield done(key, rows)
-                    key, rows = own, {}
-                rows[row[0]] = row  # a text that is repeated counts once
+                        yield compared(key, rows)
+                    key, rows = row[:4], {}
+                rows[row[4]] = row[4:]  # a text that is repeated counts once
         if rows:
-            yield done(key, rows)
+            yield compared(key, rows)
 
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    groups = joined.mapInArrow(shingles, "node long, n_texts long, cluster long, block int, blocks int, shingles binary").select("*", other)
-    groups = groups.select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks", "node", "n_texts", "block", "shingles")
-    return groups.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right").mapInArrow(compare, "node long, links long, root long, parts boolean")
+    kinds = "node long, n_texts long, cluster long, bands array<long>, groups array<struct<group: long, across: boolean, blocks: int>>, shingles binary"
+    found = joined.select(*names, "of_key", "text").mapInArrow(shingles, kinds)
+    block = F.pmod(F.xxhash64("node"), F.col("g.blocks")).cast("int").alias("block")
+    parts = found.select("*", F.explode("groups").alias("g")).select("node", "n_texts", "cluster", "bands", "shingles", "g.*", block)
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    parts = parts.select("*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).drop("other", "blocks")
+    order = ["group", "across", "left", "right"]
+    return parts.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "node long, links long, root long")
 
 
 def _linked(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, text_key, root (of the class), class_id, set_id and n_links of every document."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    signed = signatures(docs).checkpoint()
+    signed = stored(signatures(docs))
     by_text = signed.groupBy("node", "set_key", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "text_hash")).alias("of")
-    sets = by_text.groupBy("node", "set_key").agg(of, F.count("*").alias("n_texts"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    sets = sets.checkpoint()
-    found = _verified(docs, sets, _clustered(sets)).checkpoint()
-    links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    apart = found.where("parts and node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    if not apart.isEmpty():  # clusters of several blocks: their groups' components are put together
-        whole = graph.components(apart)
-        links = links.join(whole.select("node", F.col("root").alias("whole")), "node", "left").select("node", "links", F.coalesce("whole", "root").alias("root"))
+    sets = stored(by_text.groupBy("node", "set_key").agg(of, F.count("*").alias("n_texts"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    found = stored(_verified(docs, sets))
+    roots = graph.components(found.where("node > root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0").join(roots, "node")
     ids = sets.select("node", "set_key", F.col("of.doc_id").alias("set_id"), "n_texts")
-    least = links.join(ids, "node").groupBy("root").agg(F.min("set_id").alias("least"))
-    links = links.join(least, "root").select("node", "links", "root", "least").checkpoint()
-    of_set = ids.join(links, "node", "left").select(
+    linked = stored(ids.join(links, "node"))
+    least = stored(linked.groupBy("root").agg(F.min("set_id").alias("least")))
+    classes = linked.join(least, "root").select("node", "root", "least", "links")
+    of_set = ids.join(classes, "node", "left").select(
         "node", "set_key", "set_id", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("set_id")).otherwise(F.col("least")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"),
     )
-    return signed.select("doc_id", "text_hash", "text_key", "node", "set_key").join(of_set, ["node", "set_key"]).drop("node", "set_key")
+    return signed.select("doc_id", "text_hash", "text_key", "node", "set_key").join(stored(of_set), ["node", "set_key"]).drop("node", "set_key")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
@@ -243,7 +287,7 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     found = stored(rows.join(best, "root").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays"), "times").where("not stays or times > 1"))
 
     def same(left: DataFrame, right: DataFrame) -> Column:
-        return left["doc_id"].cast("long").eqNullSafe(right["gone_id"]) & (_text_hash(left) == right["gone_hash"])
+        return left["doc_id"].eqNullSafe(right["gone_id"]) & (_text_hash(left) == right["gone_hash"])
 
     keys = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
     gone = found.where("not stays").select(*keys)

@@ -148,8 +148,11 @@ def test_long_documents_in_blocks(monkeypatch):
     assert ((at >= b) & (at <= a + suffix_dedup.REACH)).all() and set(key[(at > 1200) & (at < 1300)]) <= set(key[(at > 3200) & (at < 3300)])
 
 
-def test_near_links_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("strong", [10, 1, 36])
+def test_near_links_in_blocks(spark, monkeypatch, strong):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "STRONG", strong)
     r = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     docs = []
@@ -199,7 +202,7 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(got.get(x, x) == r for x, r in root.items())
+    assert len({(got.get(x, x), r) for x, r in root.items()}) == len({got.get(x, x) for x in root}) == len(set(root.values()))
     assert graph.components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
