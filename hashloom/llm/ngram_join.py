@@ -40,9 +40,9 @@ from hashloom.llm.shared import bounded, stored
 
 THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard similarity is >= 0.8
 #: Bands of ``BANDS`` that a set shares with the least set of those bands if both are to be in one cluster; decides where pairs are compared, not which.
-STRONG = 10
-#: A group is cut into about BLOCKS blocks, of LEAST_BLOCK to BLOCK_SETS members and (about) BLOCK_SHINGLES shingles at most.
-BLOCKS, LEAST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 24, 64, 1024, 1_000_000
+STRONG = 5
+#: Members, and shingles, of one block at most (about).
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Up to so many candidate ids are sent to the tasks that read the texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
@@ -184,9 +184,8 @@ def _groups(sets: DataFrame) -> DataFrame:
     of_node = placed.join(across, "band", "left").groupBy("node", "n", "cluster").agg(F.sort_array(F.collect_set(F.when(F.col("own"), F.col("band")))).alias("bands"))
     of_node = stored(of_node)
     parts = of_node.select("node", "n", F.col("cluster").alias("group"), F.lit(False).alias("across")).unionByName(of_node.select("node", "n", F.explode("bands").alias("group"), F.lit(True).alias("across")))
-    block = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("size") / BLOCKS)))
     sizes = parts.groupBy("group", "across").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
-    sizes = stored(sizes.select("group", "across", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    sizes = stored(sizes.select("group", "across", F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     lists = parts.join(sizes, ["group", "across"]).groupBy("node").agg(F.collect_list(F.struct("group", "across", "blocks")).alias("groups"))
     return of_node.select("node", "cluster", "bands").join(lists, "node")
 

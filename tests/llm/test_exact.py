@@ -148,10 +148,9 @@ def test_long_documents_in_blocks(monkeypatch):
     assert ((at >= b) & (at <= a + suffix_dedup.REACH)).all() and set(key[(at > 1200) & (at < 1300)]) <= set(key[(at > 3200) & (at < 3300)])
 
 
-@pytest.mark.parametrize("strong", [10, 1, 36])
+@pytest.mark.parametrize("strong", [5, 1, 36])
 def test_near_links_in_blocks(spark, monkeypatch, strong):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
-    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 4)
     monkeypatch.setattr(ngram_join, "STRONG", strong)
     r = random.Random(2)
     base = [f"w{k}" for k in range(120)]
