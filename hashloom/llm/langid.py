@@ -2,13 +2,15 @@
 
 A word seen in training scores with its per-language log frequency. An unseen
 word backs off: at each of its characters the longest known n-gram that ends
-there (four bytes down to one, word start included) scores, and the word gets
-``BACKOFF`` times the mean over its characters. A document's language is the one
-with the greatest sum; the score is its share after a softmax.
+there (four characters down to one, word start included) scores, and the word
+gets ``BACKOFF`` times the mean over its characters. A document's language is the
+one with the greatest sum; the score is its share after a softmax. Words are runs
+of ASCII letters and non-ASCII characters, in lower case; they are told apart by
+64-bit hashes of all their bytes, n-grams by hashes of their characters.
 
 The frequencies come from at most ``TRAIN_ROWS`` documents with a language (those
-whose hashed doc_id is least); the tables keep the most frequent ``WORDS`` words
-and ``GRAMS`` n-grams of each length, so the model's size is bounded.
+whose hashed doc_id is least). All that is counted there is kept, so the model's
+size is bounded by those rows.
 
 Cases: a text that is null or has no letter gets ``und`` and score 0; a null
 lang is not learned from; with nothing to learn from every document gets ``und``;
@@ -21,37 +23,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import sampling, textbuf as tb
-from hashloom.llm.shared import bounded, stored, texts
+from hashloom.llm.shared import bounded, texts
 
-#: Labelled documents that the frequencies are counted over, at most; entries in the tables, at most.
-TRAIN_ROWS, WORDS, GRAMS = 20_000, 200_000, 50_000
+#: Labelled documents that the frequencies are counted over, at most.
+TRAIN_ROWS = 20_000
 ORDERS = (4, 3, 2, 1)
-LEAST_COUNT, BACKOFF = 3, 1.5
+BACKOFF = 1.5
 #: Text bytes counted at a time, and keys of one table that a task holds before it passes them on.
 COUNT_BYTES, HELD_KEYS = 1 << 18, 200_000
 _LETTER = np.array([chr(c).isalpha() and c < 0x80 or c >= 0x80 for c in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _MARK = ord("_")
 
 
-def _lower(raw: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and for the Latin-1 letters, which keep their two bytes."""
-    out = _LOWER[raw]
-    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
-    second = second[(raw[second] >= 0x80) & (raw[second] <= 0x9E) & (raw[second] != 0x97)]
-    out[second] += 0x20
-    return out
-
-
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case bytes with a mark before and zeros behind; word starts, ends and texts."""
-    raw, off = tb.buffers(column)
-    pad = tb.padded(np.concatenate((np.array([_MARK], np.uint8), _lower(raw))))
+    raw, off = tb.buffers(pc.utf8_lower(column))
+    pad = tb.padded(np.concatenate((np.array([_MARK], np.uint8), raw)))
     inside = _LETTER[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[1:-1] = inside[1:] != inside[:-1]
@@ -65,25 +57,26 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def grams(pad: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For every byte of the words: the word's number, and for each order the hash of the n-gram that ends there (0: none).
+    """For every character of the words: the word's number, and for each order the hash of the n-gram that ends there (0: none).
 
-    The byte before a word counts as its start mark.
+    A mark before a word counts as its first character.
     """
     flat = tb.gather(pad, begin - 1, size + 1)
     at = np.cumsum(size + 1) - size - 1
     flat[at] = _MARK
-    view = tb.words64(tb.padded(np.concatenate((np.zeros(8, np.uint8), flat))))
-    word = np.repeat(np.arange(len(size)), size + 1)
-    place = np.arange(len(flat)) - np.repeat(at, size + 1)
+    start = np.flatnonzero((flat & 0xC0) != 0x80)
+    width = np.diff(np.append(start, len(flat)))
+    char = tb.words64(tb.padded(flat))[start] & ((np.uint64(1) << (8 * np.minimum(width, 7)).astype(np.uint64)) - np.uint64(1))
+    word = np.repeat(np.arange(len(size)), size + 1)[start]
+    place = np.arange(len(start)) - np.searchsorted(start, at)[word]
     inner = place > 0
-    word, place, pos = word[inner], place[inner], np.flatnonzero(inner) + 8
-    out = []
-    for n in ORDERS:
-        key = view[pos - n + 1] & np.uint64((1 << 8 * n) - 1)
-        h = tb.mix(key, np.full(1, n, np.uint64))
-        h[place + 1 < n] = 0
-        out.append(h)
-    return word, out
+    out: dict[int, np.ndarray] = {}
+    h = tb.mix(char, np.ones(1, np.uint64))
+    for n in range(1, max(ORDERS) + 1):
+        if n > 1:  # the n-gram is the one before, one character shorter, and this character
+            h[1:] = tb.mix(h[:-1] + np.uint64(n), char[1:])
+        out[n] = np.where(place + 1 >= n, h, np.uint64(0))[inner]
+    return word[inner], [out[n] for n in ORDERS]
 
 
 class Model:
@@ -109,6 +102,7 @@ class Model:
         rest = np.flatnonzero(~known)
         if len(rest):
             word, hashes = grams(pad, begin[rest], size[rest])
+            chars = np.bincount(word, minlength=len(rest))
             logs = np.zeros((len(word), len(self.langs)), np.float32)
             open_ = np.ones(len(word), bool)
             for order, g in zip(ORDERS, hashes):
@@ -117,7 +111,7 @@ class Model:
                 logs[todo[hit]] = found[hit]
                 open_[todo[hit]] = False
             for k in range(len(self.langs)):
-                out[rest, k] = BACKOFF * np.bincount(word, logs[:, k], minlength=len(rest)) / size[rest]
+                out[rest, k] = BACKOFF * np.bincount(word, logs[:, k], minlength=len(rest)) / chars
         return out
 
 
@@ -127,11 +121,12 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counts(order: int, lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array([lang] * len(keys), pa.string()), pa.array(n.astype(np.int64))], names=["ord", "key", "lang", "n"])
+    columns = [pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array([lang] * len(keys), pa.string()), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["ord", "key", "lang", "n"])
 
 
 def train(sample: DataFrame) -> Model | None:
-    """Count words and n-grams of (text, label) rows by language; the counts are summed by Spark, the largest are kept."""
+    """Count words and n-grams of (text, label) rows by language; the counts are summed by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -140,7 +135,7 @@ def train(sample: DataFrame) -> Model | None:
                 pad, begin, end, doc = words(part.column("text"))
                 label = part.column("label").dictionary_encode()
                 lang, names = np.asarray(label.indices)[doc], label.dictionary.to_pylist()
-                h = tb.mix(*tb.word_keys(tb.words64(pad), begin, end - begin))
+                h = tb.word_hashes(tb.words64(pad), begin, end - begin)
                 word, hashes = grams(pad, begin, end - begin)
                 for order, key, own in ((0, h, lang), *((n, g, lang[word]) for n, g in zip(ORDERS, hashes))):
                     for k, name in enumerate(names):
@@ -157,13 +152,7 @@ def train(sample: DataFrame) -> Model | None:
             yield _counts(order, name, *_merged(own_counts))
 
     counts = sample.mapInArrow(count, "ord int, key long, lang string, n long").groupBy("ord", "key", "lang").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("ord", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).where(F.col("total") >= LEAST_COUNT)
-    by_key = stored(by_key)  # read once for each table below
-    kept = [by_key.where(F.col("ord") == n).orderBy(F.desc("total"), "key").limit(WORDS if n == 0 else GRAMS) for n in (0, *ORDERS)]
-    frame = kept[0]
-    for more in kept[1:]:
-        frame = frame.unionByName(more)
-    table = frame.select("ord", "key", F.explode("by_lang").alias("lang", "n")).toArrow()
+    table = counts.toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     if not langs:
         return None
@@ -191,7 +180,7 @@ class Scorer:
 
     def _word_vectors(self, pad: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         low, high = tb.word_keys(tb.words64(pad), begin, size)
-        h = tb.mix(low, high)
+        h = tb.word_hashes(tb.words64(pad), begin, size)
         number, known = self.cache.find(low, high, h)
         known &= size <= tb.KEY_BYTES
         out = self.store[number]

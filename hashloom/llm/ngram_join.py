@@ -42,9 +42,9 @@ THRESHOLD_9 = 4  # of 9: |A and B| >= 4/9 (|A| + |B|) just when the Jaccard simi
 #: Bands of ``BANDS`` that a set shares with the least set of those bands if both are to be in one cluster; decides where pairs are compared, not which.
 STRONG = 5
 #: Members, and shingles, of one block at most (about).
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 #: Up to so many candidate ids are sent to the tasks that read the texts; beyond, the texts are shuffled to them.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 
 def band_plan(threshold: float = 0.8, recall: float = 0.999999, rows: int = 5) -> tuple[int, int]:

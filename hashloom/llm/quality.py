@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, learned with follow-the-regularised-leader updates.
 
 Words are runs of letters, digits and non-ASCII characters, or runs of signs;
-upper and lower case differ. A document's features are the relative frequencies
+upper and lower case differ, and every byte of a word counts. A document's features are the relative frequencies
 of its hashed single words and word pairs (a word that is repeated at once has a
 bucket of its own), so its score is a sparse dot product that is summed while
 the words go by.
@@ -16,6 +16,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word = kind[begin] > 0 if len(begin) else np.zeros(0, bool)
     begin, end = begin[word], end[word]
     doc = np.searchsorted(off, begin, side="right") - 1
-    one = tb.mix(*tb.word_keys(tb.words64(pad), begin, end - begin))
+    one = tb.word_hashes(tb.words64(pad), begin, end - begin)
     two = tb.mix(one[:-1], one[1:] ^ np.uint64(0xABCDEF))
     two[one[:-1] == one[1:]] = tb.mix(_SAME[None], _SAME[None])
     inside = doc[:-1] == doc[1:]
@@ -92,7 +93,8 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
                     a, b = bounds[d], bounds[d + 1]
                     lists.append((keyed[a:b] & 0xFFFFFFFF).astype(np.int32))
                     values.append((SCALE * counts[a:b] / max(1, total[d])).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.float64()), pa.array(lists, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["doc_id", "label", "at", "x"])
+                columns = [part.column("doc_id"), part.column("label").cast(pa.float64()), pa.array(lists, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "at", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -100,11 +102,12 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
             ids, labels = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
             at, x = batch.column("at"), batch.column("x")
             rows += [(i, np.asarray(at[k].values), np.asarray(x[k].values, np.float64), y) for k, (i, y) in enumerate(zip(ids, labels))]
-        rows.sort(key=lambda r: (hash((r[0], 7)), r[0]))
+        rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[3], r[1].tobytes(), r[2].tobytes()))  # not the order of arrival
         w, bias = fit([r[1:] for r in rows]) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = sample.mapInArrow(extract, "doc_id long, label double, at array<int>, x array<float>").repartition(1).mapInArrow(learn, "w binary, bias double").first()
+    rows = sample.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(extract, "doc_id string, label double, at array<int>, x array<float>")
+    got = rows.repartition(1).mapInArrow(learn, "w binary, bias double").first()
     return (np.frombuffer(bytes(got.w), np.float32), got.bias) if got else fit([])
 
 
