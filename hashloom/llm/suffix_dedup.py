@@ -16,14 +16,18 @@ of suffixes with one anchor is one row.
    of their suffixes are repeated.
 3. What is left (the rims of repeated passages) is grouped by anchor, with one
    representative of each kind of row from step 2, and its suffixes go through
-   the remaining passes of eight bytes each; a suffix that is alone in its group
-   is dropped at once. Groups of more than ``GROUP`` rows are dealt out by
-   suffix instead, as hashes that Spark counts with map-side sums.
+   the remaining passes of up to seven bytes each; a suffix that is alone in its
+   group is dropped at once. Ranks and bytes are packed side by side, so a pass
+   compares the bytes themselves. A group of more than ``GROUP`` rows (a passage in
+   very many documents) is no job for one task: its suffixes are dealt out at
+   once by two 64-bit hashes of all their bytes, which Spark counts with map-side sums.
+
+Which rows agree in all they cover is also decided by two 64-bit hashes.
 
 Cases: a null text counts as empty; documents shorter than ``LENGTH`` bytes keep
 everything; repeated rows of one document are copies of each other, so all they
-hold is removed; a null doc_id is a value like any other; extra columns are
-ignored.
+hold is removed; a null doc_id is a value like any other, and ids can be of any
+type; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hashloom.llm import textbuf as tb
@@ -43,6 +47,8 @@ LENGTH, K = 200, 64
 REACH = LENGTH - K
 #: Rows of one anchor that one task sorts, at most; suffixes in one numpy round (about).
 GROUP, ROUND = 8192, 400_000
+#: Kinds of rows with more than one in so many of all rows (and LEAST_HEAVY rows) are told by a broadcast.
+HEAVY, LEAST_HEAVY = 10_000, 1_000
 _POS = np.uint64((1 << 24) - 1)
 _BLOCK = 1 << 22
 _NO_ID = -(1 << 63)
@@ -104,9 +110,15 @@ def anchor_rows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
 
 
+def _number(docs: DataFrame) -> Column:
+    """A number for each doc_id: itself, or its hash where it is no whole number. With the text's hash it tells rows apart."""
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.col("doc_id").cast("long") if whole else F.xxhash64(F.col("doc_id").cast("string")), F.lit(_NO_ID))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return bounded(docs).select("doc_id", text).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("version"), "text")
+    return bounded(docs).select("doc_id", text).select("doc_id", _number(docs).alias("id"), F.xxhash64("text").alias("version"), "text")
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
@@ -120,15 +132,19 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(off, at, side="right") - 1
                 packed = (at - off[doc]) << 16 | (at - a) << 8 | (at - b)
                 ids, versions = (np.asarray(part.column(c)) for c in ("id", "version"))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(versions[doc]), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(packed)], names=["id", "version", "key", "whole", "run"])
+                columns = [ids[doc], versions[doc], key.view(np.int64), whole.view(np.int64), packed]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "version", "key", "whole", "run"])
 
     return docs.select("id", "version", "text").mapInArrow(run, "id long, version long, key long, whole long, run long")
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, id, version, run, single, big, start, bytes): the bytes that each wanted row's suffixes cover."""
+    """(key, id, version, run, single, big, start, bytes): the bytes that each wanted row's suffixes cover.
+
+    doc_id is read too, so that the texts are shuffled once for this and for the last join.
+    """
     lists = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("key", "run", "single", "big")).alias("rows"))
-    joined = docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "rows")
+    joined = docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("doc_id", "id", "version", "text", "rows")
     names = ["key", "id", "version", "run", "single", "big", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +159,8 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at = packed >> 16
                 a, b = off[doc] + at - (packed >> 8 & 255), off[doc] + at - (packed & 255) + LENGTH
                 pieces = [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
-                yield pa.RecordBatch.from_arrays([flat.field("key"), pa.array(np.asarray(part.column("id"))[doc]), pa.array(np.asarray(part.column("version"))[doc]), flat.field("run"), flat.field("single"), flat.field("big"), pa.array(pieces, pa.binary())], names=names)
+                of_doc = [pa.array(np.asarray(part.column(c))[doc]) for c in ("id", "version")]
+                yield pa.RecordBatch.from_arrays([flat.field("key"), *of_doc, *(flat.field(c) for c in ("run", "single", "big")), pa.array(pieces, pa.binary())], names=names)
 
     return joined.mapInArrow(run, "key long, id long, version long, run long, single boolean, big boolean, bytes binary")
 
@@ -162,13 +179,17 @@ def repeated_suffixes(group: np.ndarray, packed: np.ndarray, pieces: pa.Array) -
     row, distance, place, pad = _suffixes(packed, pieces)
     view = tb.words64(pad)
     rank = group[row] * (REACH + 2) + distance
-    for digit in range(-1, LENGTH // 8):
-        if digit >= 0:
-            rank = tb.mix(rank.astype(np.uint64), view[place + 8 * digit])
+    done = 0
+    while True:
         _, rank, count = np.unique(rank, return_inverse=True, return_counts=True)
         more = count[rank] > 1
         row, distance, place, rank = row[more], distance[more], place[more], rank[more]
-    return row, distance
+        if done == LENGTH or not len(rank):
+            return row, distance
+        digit = min((64 - int(rank.max()).bit_length()) // 8, 7, LENGTH - done)  # bytes that fit beside the rank
+        own = view[place + done] & np.uint64((1 << 8 * digit) - 1)
+        rank = rank.astype(np.uint64) << np.uint64(8 * digit) | own
+        done += digit
 
 
 def _intervals(ids: np.ndarray, versions: np.ndarray, packed: np.ndarray, row: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
@@ -178,7 +199,8 @@ def _intervals(ids: np.ndarray, versions: np.ndarray, packed: np.ndarray, row: n
     new = np.concatenate(([True], (np.diff(row) != 0) | (np.diff(start) != 1))) if len(row) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1 if len(row) else first
-    return pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(versions[row[first]]), pa.array(start[first]), pa.array(start[last] + LENGTH)], names=["id", "version", "lo", "hi"])
+    columns = [ids[row[first]], versions[row[first]], start[first], start[last] + LENGTH]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "version", "lo", "hi"])
 
 
 def _sorted_groups(around: DataFrame) -> DataFrame:
@@ -222,13 +244,27 @@ def _counted_groups(around: DataFrame) -> DataFrame:
                 for digit in range(LENGTH // 8):
                     one, two = tb.mix(one, view[place + 8 * digit]), tb.mix(two, view[place + 8 * digit] ^ one)
                 start = (packed[row] >> 16) - distance
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(part.column(c))[row]) for c in ("id", "version")), pa.array(np.asarray(part.column("single"))[row]), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "version", "single", "lo", "one", "two"])
+                of_row = [pa.array(np.asarray(part.column(c))[row]) for c in ("id", "version", "single")]
+                yield pa.RecordBatch.from_arrays([*of_row, pa.array(start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "version", "single", "lo", "one", "two"])
 
     rows = around.where("big").mapInArrow(run, "id long, version long, single boolean, lo long, one long, two long")
     again = rows.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1").select("one", "two")
     return rows.where("single").join(again, ["one", "two"]).select("id", "version", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
+def _of_repeated(shared: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows of the kinds that occur more than once.
+
+    The most frequent kinds are found by a broadcast: as each has more than one
+    in ``HEAVY`` of all rows, there are less than ``HEAVY`` of them, whatever the input.
+    """
+    most = max(LEAST_HEAVY, shared.count() // HEAVY)
+    heavy = kinds.where(F.col("times") > most).select("key", "whole", F.lit(True).alias("heavy"))
+    marked = shared.join(F.broadcast(heavy), ["key", "whole"], "left")
+    repeated = kinds.where((F.col("times") > 1) & (F.col("times") <= most)).select("key", "whole")
+    return marked.where("heavy").drop("heavy").unionByName(marked.where("heavy is null").drop("heavy").join(repeated, ["key", "whole"]))
+
+
 def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also kept (binary) and spans (array of lo, hi)."""
     kind, arrow_kind = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
@@ -238,14 +274,14 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     often = stored(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
     shared = stored(rows.join(often, "key"))
     kinds = stored(shared.groupBy("key", "whole").agg(F.count("*").alias("times"), F.min(F.struct("id", "version", "run")).alias("one")))
-    full = shared.join(kinds.where("times > 1").select("key", "whole"), ["key", "whole"])
+    full = _of_repeated(shared, kinds)
     full = full.select("id", "version", (F.shiftright("run", 16) - F.shiftright("run", 8).bitwiseAND(255)).alias("lo"), (F.shiftright("run", 16) - F.col("run").bitwiseAND(255) + LENGTH).alias("hi"))
     open_ = kinds.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("times") == 1).alias("singles")).where("singles > 0 and members > 1")
-    wanted = kinds.join(open_, "key").select("key", "one.*", (F.col("times") == 1).alias("single"), (F.col("members") > GROUP).alias("big"))
+    wanted = kinds.join(stored(open_), "key").select("key", "one.*", (F.col("times") == 1).alias("single"), (F.col("members") > GROUP).alias("big"))
     around = _surroundings(docs, wanted)
     spans = full.unionByName(_sorted_groups(around)).unionByName(_counted_groups(around))
     spans = spans.groupBy("id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), ["id", "version"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans.hint("shuffle_hash"), ["id", "version"], "left").select("doc_id", "id", "version", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if texts else [])]
     span_kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
