@@ -52,6 +52,12 @@ def test_one_row_for_each(name, nasty, empty, items, labels):
     assert op(empty).count() == 0
 
 
+def test_anchor_rows(nasty, empty):
+    rows = syncmers.positions(nasty).collect()
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in nasty.collect()} and {r.position for r in rows if r.doc_id == 5} == {r.position for r in rows if r.doc_id == 6}
+    assert syncmers.positions(empty).isEmpty()
+
+
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 

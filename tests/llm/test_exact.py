@@ -205,20 +205,80 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_anchors(data):
+    """(place, hash) of the closed syncmers of a text, found one k-mer at a time."""
+
+    def inner(b):
+        h = int.from_bytes(b, "little") * 0x9FB21C651E98DF25 & M64
+        h ^= h >> 35
+        return (h * 0x9E3779B97F4A7C15 & M64) >> 32
+
+    def mix(low, high):
+        h = low * 0x9E3779B97F4A7C15 & M64
+        h ^= h >> 29
+        h = (h + high & M64) * 0xC2B2AE3D27D4EB4F & M64
+        return h ^ h >> 32
+
+    out = []
+    for p in range(len(data) - syncmers.K + 1):
+        mers = [inner(data[p + k : p + k + syncmers.S]) for k in range(syncmers.WIDTH)]
+        if min(mers) in (mers[0], mers[-1]):
+            a, b, c, d = (int.from_bytes(data[p + k : p + k + 8], "little") for k in (0, 8, 16, syncmers.K - 8))
+            out.append((p, mix(mix(a, b), mix(c, d)) >> 32))
+    out = out or [(0, int.from_bytes(hashlib.sha256(data).digest()[:4], "little"))]
+    return [x for k, x in enumerate(out) if not k or x[1] != out[k - 1][1]]
+
+
+def read_fingerprint(text):
+    at, out = 0, []
+    for k in range(0, len(text), 12):
+        at += int(text[k + 8 : k + 12], 16)
+        out.append((at, int(text[k : k + 8], 16)))
+    return out
+
+
+def plain_likeness(a, b):
+    places = [defaultdict(list), defaultdict(list)]
+    for own, rows in zip(places, (a, b)):
+        for p, h in rows:
+            own[h].append(p)
+    offsets = [p - q for h in places[0] for p, q in zip(places[0][h], places[1].get(h, []))]
+    times = Counter(offsets)
+    return 2 * sum(times[o] > 1 or min(len(a), len(b)) == 1 for o in offsets) / (len(a) + len(b))
+
+
+def test_fingerprints_of_shifted_passages():
+    r = random.Random(11)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n)).encode()
+    base = text(4000)
+    cases = [base, text(300) + base, base[:2000] + text(2000), base[2000:] + base[:2000], text(4000), b"x" * 3000, b"xy" * 90_000, text(50) + b"z" * 70_000 + base, b"", b"short", b"short"]
+    prints = syncmers.Prints.of(cases)
+    assert [read_fingerprint(f) for f in prints.written()[:6]] == [plain_anchors(c) for c in cases[:6]]
+    near = lambda i, j: float(syncmers.likeness(prints, np.array([i]), prints, np.array([j]))[0])
+    assert all(near(i, i) == 1 for i in range(len(cases))) and near(9, 10) == 1 and near(8, 9) == 0
+    assert near(0, 1) > 0.9 and 0.45 < near(0, 2) < 0.55 and near(0, 3) > 0.95 and near(0, 4) == 0 and near(0, 7) > 0.9
+    again = syncmers.Prints.read(prints.written())
+    assert again.written() == prints.written() and np.array_equal(again.bounds, prints.bounds)
+
+
 def test_edited_texts(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 3)
     r = random.Random(6)
-    docs = [(i * 7 - 20, "".join(r.choices("abc déé\n漢", k=r.choice([0, 1, 5, 40, 400])))) for i in range(31)] + [(5000, None)]
+    docs = [(i * 7 - 20, "".join(r.choices("abc déé\n漢", k=r.choice([0, 1, 5, 40, 400, 900])))) for i in range(31)] + [(5000, None)]
     got = {x.doc_id: x for x in syncmers.edit_likeness(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     ordered = sorted(((i, t or "") for i, t in docs), reverse=True)
     prints = {}
+    plain = {i: plain_anchors(t.encode()) for i, t in ordered}
     for (i, t), (j, u) in zip(ordered, ordered[1:] + ordered[:1]):
         half = len(t) // 2
         edited = t[: len(t) - half] + u[:half]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), sha(edited))
         assert prints.setdefault(t, got[i].fingerprint) == got[i].fingerprint and prints.setdefault(edited, got[i].edited_fingerprint) == got[i].edited_fingerprint
-        a, b = (np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in (got[i].fingerprint, got[j].fingerprint))
-        assert got[i].near_next == syncmers.likeness(a, b)
+        assert read_fingerprint(got[i].fingerprint) == plain[i] and read_fingerprint(got[i].edited_fingerprint) == plain_anchors(edited.encode())
+        assert got[i].near_next == plain_likeness(plain[i], plain[j]) and got[i].near_edited == plain_likeness(plain[i], plain_anchors(edited.encode()))
     plain = {x.doc_id: x.fingerprint for x in syncmers.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert plain == {i: x.fingerprint for i, x in got.items()}
 
