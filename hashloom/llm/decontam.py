@@ -9,7 +9,8 @@ occurrence of a window (``window`` consecutive item words, or a whole shorter
 item) is hit.
 
 Cases: a null or empty text has no words and is never hit; items without words
-or with a null item_id have no windows; repeated items and repeated documents
+or with a null item_id have no windows; item_ids are whole numbers, doc_ids of any
+type; repeated items and repeated documents
 are treated row by row; extra columns of either input are ignored by
 ``contamination`` and kept by ``decontaminate``; empty tables give empty
 results. An item table of any size works: beyond ``block_words`` words it is cut
@@ -33,6 +34,8 @@ from hashloom.llm.shared import bounded, texts
 #: Words are runs of these characters once A-Z are lower case.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
+#: Words of the shortest run that ``decontaminate`` cuts out.
+LEAST_CUT = 5
 #: Item words in one automaton: bounds what is broadcast (some tens of MB).
 BLOCK_WORDS = 100_000
 #: Longer items are cut into overlapping pieces, so that blocks stay even.
@@ -302,11 +305,13 @@ def _merged(docs: DataFrame, parts: list, kind: str) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_span: int = LEAST_CUT - 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without the passages they share with items; all columns of ``docs`` stay.
 
     A run of hit words that is longer than ``max_span`` words is cut out of the
-    text with what stands between its words; a document of which more than
+    text with what stands between its words: by default every window, and every
+    whole item of 5 to 9 words; items of fewer words, which ordinary text may hold
+    by chance, only count toward the coverage; a document of which more than
     ``max_coverage`` of the words are hit goes as a whole. n_chars, where there is
     such a column, follows the new text. With several blocks of items, the hit
     words of all blocks are put together before a document is judged and cut.
