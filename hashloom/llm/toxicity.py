@@ -340,9 +340,11 @@ def train(sample: DataFrame) -> dict:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(i, t, y) for b in batches for i, t, y in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("label").to_pylist())})
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], np.array([float(y > 0) for *_, y in rows])))], pa.binary())], names=["model"])
+        model = fit([t for _, t, _ in rows], np.array([float(y > 0) for *_, y in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("double").alias("label")).repartition(1).mapInArrow(learn, "model binary").first()
+    rows = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("label").cast("double").alias("label"))
+    got = rows.repartition(1).mapInArrow(learn, "model binary").first()
     return pickle.loads(bytes(got.model)) if got else fit([], np.zeros(0))
 
 

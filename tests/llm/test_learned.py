@@ -79,6 +79,40 @@ def test_toxicity_gradients():
         assert abs((up - down) / 0.02 - grad[k][at_]) < 2e-3, k
 
 
+def test_toxicity_scores():
+    """Scores of a fitted model against the network's equations, one word at a time in double precision."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(["foo", "bar", "baz", "qux", "Straße", "internationalisation"] + ["idiot", "idiots"] * (k % 2), r.integers(1, 90))) for k in range(80)]
+    model = toxicity.fit(texts, np.array([float("idiot" in t) for t in texts]))
+    column = pa.array([*texts, "", None, "idiot"])
+    pad, begin, end, bounds = words.spans(column)
+    x = toxicity.Words(model["odds"], tb.words64(pad), begin, end - begin).vectors(model["net"]).astype(float)
+    net, n = {k: v.astype(float) for k, v in model["net"].items()}, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(rows, d):
+        h, out = np.zeros(n), []
+        for row in rows:
+            g, u = row @ net[f"x{d}"] + net[f"b{d}"], h @ net[f"h{d}"]
+            z, reset = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(g[2 * n :] + reset * u[2 * n :])
+            h = z * h + (1 - z) * new
+            out.append(h)
+        return out
+
+    def window(rows):
+        both = np.array([np.concatenate(p) for p in zip(states(rows, "f"), states(rows[::-1], "b")[::-1])])
+        a = np.exp(np.tanh(both @ net["wa"]) @ net["va"])
+        return float((a / a.sum()) @ both @ net["wo"] + net["bo"][0])
+
+    want = []
+    for a, b in zip(bounds, bounds[1:]):
+        starts = range(a, max(a + 1, b - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        want.append(sigmoid(max(window(x[k : min(b, k + toxicity.WINDOW)]) for k in starts)) if b > a else model["rate"])
+    assert np.allclose(toxicity.Scorer(model).score(column), want, atol=1e-4)
+    assert np.mean([(p > 0.5) == ("idiot" in t) for p, t in zip(want, texts)]) > 0.95
+
+
 def test_windows_cover_every_word():
     bounds = np.array([0, 0, 1, 33, 65, 400])
     at, doc = toxicity.windows(bounds, 400)
