@@ -12,7 +12,8 @@ The vocabulary file is read where the work runs; its path is a parameter.
 
 Cases: a null text counts as empty and has no tokens; strings of special tokens
 in a text become those tokens, as by default in the tokenizers library; extra
-columns are ignored by ``encode`` and kept by ``add_token_counts``.
+columns are ignored by ``encode`` and kept by ``add_tokens``; a vocabulary file
+whose parts ask for other work than this is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +37,20 @@ SHORT_WORD = 48
 #: Words in the store before it is emptied.
 STORE_WORDS = 1 << 19
 _NONE = np.int64(1 << 40)
+#: The parts of a vocabulary file that this module does the work of (fixed values).
+_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+    "model": {"type": "BPE", "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False},
+}
+_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
 
 def byte_letters() -> list[str]:
@@ -51,6 +66,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pt.check_parts(spec, _PARTS, _ADDED)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = byte_letters()

@@ -146,6 +146,23 @@ def unspaced(state: str, c: int) -> tuple[str, int]:
     return fresh(c)
 
 
+def check_parts(spec: dict, parts: dict, added: dict) -> None:
+    """Raise where a vocabulary file asks for another normaliser, splitter or model than the given parts, or for special tokens of another kind."""
+
+    def differs(want: object, got: object) -> bool:
+        if isinstance(want, dict):
+            return not isinstance(got, dict) or any(differs(v, got.get(k)) for k, v in want.items())
+        if isinstance(want, list):
+            return not isinstance(got, list) or len(want) != len(got) or any(map(differs, want, got))
+        return want != got
+
+    for name, want in parts.items():
+        if differs(want, spec.get(name)):
+            raise ValueError(f"the vocabulary file has another {name}: {str({k: v for k, v in (spec.get(name) or {}).items() if k not in ('vocab', 'merges')})[:300]}")
+    if other := [t["content"] for t in spec["added_tokens"] if differs(added, t)]:
+        raise ValueError(f"added tokens of another kind: {other[:5]}")
+
+
 def segments(texts: list[str], special: dict[str, int]) -> tuple[list[str], np.ndarray, list[tuple[int, int, int]]]:
     """Texts cut at special tokens: pieces, the number of pieces before each text, and (piece, text, id) of each special token, which stands before that piece."""
     if not special:
