@@ -10,12 +10,21 @@ vocabulary token, and, for each place in that suffix, the last token of the text
 up to there and its count relative to now. They are compiled when first
 reached, and the compiled part is dropped when it reaches ``MAX_STATES``.
 
+A pre-token of more than ``LONG`` bytes is cut into chunks. A chunk's state map
+gives, for the states it may be entered in, the state at its end and the count of
+tokens emitted on the way; the maps, which differ only in what the chunks hold,
+are composed by a parallel prefix scan. A chunk's map begins with one state, found
+by reading the ``WARM`` bytes before the chunk (what stands further back is mostly
+forgotten); where the scan shows that a chunk is entered in another state, its map
+gets that state too and the scan is repeated.
+
 Why this gives the merge procedure's result: the tokens of a text up to a token
 boundary are the tokens of that text alone, and a token can follow another just
 when the two, put together, are tokenized into the two. So exactly one
 vocabulary token can end at each place.
 
-Cases: a null text counts as empty, with 0 bytes and tokens; strings of special
+Cases: a vocabulary file whose parts ask for other work than this is an error; a
+null text counts as empty, with 0 bytes and tokens; strings of special
 tokens are one token each, as by default in the tokenizers library; extra
 columns are ignored.
 """
@@ -36,15 +45,37 @@ from hashloom.llm.shared import texts
 
 #: Compiled states, and remembered token pairs, before they are dropped.
 MAX_STATES = 300_000
+#: Bytes of a pre-token beyond which it is read in chunks, bytes of a chunk, and bytes read before one.
+LONG, CHUNK, WARM = 512, 256, 64
+#: The parts of a vocabulary file that this module does the work of (fixed values).
+_PARTS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+_SHIFT, _HALF = 24, 1 << 23  # of a packed count
 _START = (b"", ((-1, 0),))
 
 
+def scan(maps: list[dict[int, tuple[int, int]]]) -> list[dict[int, tuple[int, int]]]:
+    """Inclusive prefix scan of state maps: item k takes a state before the first chunk to the state and count behind chunk k, where all maps between know their states."""
+    width = 1
+    while width < len(maps):
+        maps = maps[:width] + [
+            {s: (own[to][0], n + own[to][1]) for s, (to, n) in before.items() if to in own} for before, own in zip(maps, maps[width:])
+        ]
+        width *= 2
+    return maps
+
+
 class CountingTransducer:
     """Counts the tokens of byte-level BPE pre-tokens."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pt.check_parts(spec, _PARTS, _ADDED)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         names = {token: bytes(map(byte_of.__getitem__, token)) for token in spec["model"]["vocab"]}
@@ -59,7 +90,7 @@ class CountingTransducer:
 
     def _reset(self) -> None:
         self.states, self.number = [_START], {_START: 0}
-        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 8 | change + 128
+        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << _SHIFT | change + _HALF
         self.pairs: dict[int, bool] = {}  # left << 20 | right
         self.ends: dict[tuple[int, int], tuple[int, int]] = {}  # one object for equal (token, count)
 
@@ -100,21 +131,45 @@ class CountingTransducer:
         if number is None:
             number = self.number[to] = len(self.states)
             self.states.append(to)
-        move = self.moves[state << 8 | byte] = number << 8 | change + 128
+        if not -_HALF <= change < _HALF:
+            raise OverflowError(f"a transition changes the count by {change}")
+        move = self.moves[state << 8 | byte] = number << _SHIFT | change + _HALF
         return move
 
+    def _read(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state behind the bytes, and the change of the count."""
+        count, moves = 0, self.moves
+        for byte in data:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._compile(state, byte)
+            state = move >> _SHIFT
+            count += (move & 2 * _HALF - 1) - _HALF
+        return state, count
+
+    def _chunked(self, word: bytes) -> int:
+        """The number of tokens of a long pre-token, from its chunks' state maps."""
+        starts = range(0, len(word), CHUNK)
+        maps: list[dict[int, tuple[int, int]]] = []
+        for at in starts:
+            enter = self._read(0, word[max(0, at - WARM) : at])[0]
+            maps.append({enter: self._read(enter, word[at : at + CHUNK])})
+        while True:
+            upto = scan(maps)
+            k = next((k for k, m in enumerate(upto) if 0 not in m), None)
+            if k is None:
+                return upto[-1][0][1]
+            enter = upto[k - 1][0][0]
+            while k < len(maps) and enter not in maps[k]:
+                maps[k][enter] = self._read(enter, word[starts[k] : starts[k] + CHUNK])
+                enter = maps[k][enter][0]
+                k += 1
+
     def tokens(self, word: bytes) -> int:
         """The number of tokens of one pre-token."""
         if len(self.states) > MAX_STATES or len(self.pairs) > 4 * MAX_STATES:
             self._reset()
-        state, count, moves = 0, 0, self.moves
-        for byte in word:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = self._compile(state, byte)
-            state = move >> 8
-            count += (move & 255) - 128
-        return count
+        return self._read(0, word)[1] if len(word) <= LONG else self._chunked(word)
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""

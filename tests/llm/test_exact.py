@@ -67,6 +67,10 @@ def test_decontaminate(spark, nasty, empty):
     got = {x.doc_id: x.text for x in decontam.decontaminate(docs, items).collect()}
     assert got == {1: "Keep this, ; and keep that as well as all of these other clean words here", 3: "clean"}
     assert decontam.decontaminate(nasty, items).count() == nasty.count()
+    short = spark.createDataFrame([(1, "what is the boiling point"), (2, "name a colour")], "item_id long, text string")
+    texts = ["now tell me: What is the boiling point? of water and of other things here", "please name a colour of your choice and some more words"]
+    got = decontam.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), short).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["now tell me: ? of water and of other things here", texts[1]]
     assert decontam.decontaminate(nasty, items.limit(0)).exceptAll(nasty).isEmpty()
     assert decontam.decontaminate(empty, items).isEmpty()
 
@@ -112,6 +116,31 @@ def test_token_counts(texts, monkeypatch):
     assert own.count(texts).tolist() == want
 
 
+def test_long_pretokens_in_chunks(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_counts.CountingTransducer(path)
+    r = random.Random(4)
+    words = ["".join(r.choices(alphabet, k=n)) for n in (513, 700, 3000) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ab", "é漢a", "etaoin")]
+    words += ["ab" * 2000, "x" * 5000, "straightforwardly" * 100, "hellohello" * 77 + "z"]
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    for chunk, warm in ((256, 64), (100, 8), (37, 0), (7, 1)):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "WARM", warm)
+        assert [own.tokens(w.encode()) for w in words] == want
+
+
+def test_scan_composes_maps():
+    maps = [{0: (1, 2)}, {1: (4, 3), 2: (5, 1)}, {4: (0, 7)}, {0: (9, 1), 3: (3, 3)}, {9: (2, -1)}]
+    assert token_counts.scan(maps) == [{0: (1, 2)}, {0: (4, 5)}, {0: (0, 12)}, {0: (9, 13)}, {0: (2, 12)}]
+    assert 0 not in token_counts.scan([{0: (1, 1)}, {2: (0, 1)}])[1]
+
+
+@pytest.mark.parametrize("make, name", [(bpe_codec.WordBpe, "byte_bpe_50k.json"), (token_counts.CountingTransducer, "word_bpe_49k.json")])
+def test_other_vocabulary_files_are_refused(make, name):
+    with pytest.raises(ValueError, match="normalizer"):
+        make(public_tokenizers.path(name))
+
+
 def brute_repeats(texts, length=200):
     count = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
