@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hashloom.sources import scratch
+
+#: Rows of one range of ``nearest``, about, and its ranges at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 20_000
 
 def sel(cells: DataFrame, **bounds) -> DataFrame:
     """Cells whose labels equal a value or lie in a (low, high) range, both ends included; None leaves a side open."""
@@ -34,28 +38,30 @@ def isel(cells: DataFrame, **bounds) -> DataFrame:
 def nearest(labels: DataFrame, label: str, targets: DataFrame, target: str = "target") -> DataFrame:
     """(target, label): the nearest label of each target, the smaller one of two at the same distance.
 
-    Targets are labels of their own in the sorted sequence: the last label before
-    and the first one behind are running aggregates over ranges of values, whose
-    ends are handed from range to range, so no cross join and no single task.
+    Labels and targets are dealt out together by ranges of their values, sampled so
+    that the ranges hold about as many rows each however the values lie. Within a
+    range the last label before a target and the first one behind are running
+    aggregates; the ends of the ranges (``MOST_RANGES`` rows at most) are handed
+    from range to range. No cross join, and no task with more than its range.
     """
     kind = labels.schema[label].dataType
-    points = labels.select(F.col(label).alias("x"), F.col(label).alias("own"), F.lit(False).alias("ask")).distinct()
+    points = labels.select(F.col(label).alias("x"), F.col(label).alias("own"), F.lit(False).alias("ask")).where("x is not null").distinct()
     asks = targets.select(F.col(target).cast(kind).alias("x"), F.lit(None).cast(kind).alias("own"), F.lit(True).alias("ask")).distinct()
     both = points.unionByName(asks)
-    edges = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-    number = lambda c: c.cast("double") if kind.typeName() not in ("timestamp", "timestamp_ntz") else F.unix_micros(c.cast("timestamp")).cast("double")
-    width = F.greatest((number(F.col("hi")) - number(F.col("lo"))) / F.greatest(F.ceil(F.col("n") / 10_000), F.lit(1)), F.lit(1e-9))
-    placed = both.crossJoin(F.broadcast(edges)).select("x", "own", "ask", F.floor(F.least(F.greatest((number(F.col("x")) - number(F.col("lo"))) / width, F.lit(-1)), F.lit(1e6))).alias("range"))
-    from pyspark.sql import Window
-
+    ranges = min(MOST_RANGES, max(1, -(-both.count() // RANGE_ROWS)))
+    placed = scratch.stored(both.repartitionByRange(ranges, "x").select("*", F.spark_partition_id().alias("range")))
     ends = placed.groupBy("range").agg(F.min("own").alias("first"), F.max("own").alias("last"))
     over = Window.orderBy("range")
-    ends = ends.select("range", F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
-    inside = Window.partitionBy("range").orderBy("x")
-    near = placed.select("x", "range", "ask", F.max("own").over(inside).alias("down"), F.min("own").over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("up")).where("ask")
+    last, first = F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.min("first").over(over.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select("range", last.alias("before"), first.alias("behind"))
+    # Both frames begin at an end of the range, so each is one pass over it.
+    up, down = Window.partitionBy("range").orderBy("x"), Window.partitionBy("range").orderBy(F.desc("x"))
+    near = placed.select("x", "range", "ask", F.max("own").over(up).alias("down"), F.min("own").over(down).alias("up")).where("ask")
     near = near.join(F.broadcast(ends), "range").select("x", F.coalesce("down", "before").alias("down"), F.coalesce("up", "behind").alias("up"))
+    number = lambda c: c.cast("double") if kind.typeName() not in ("timestamp", "timestamp_ntz") else F.unix_micros(c.cast("timestamp")).cast("double")
     gap = lambda c: F.abs(number(F.col(c)) - number(F.col("x")))
-    return near.select(F.col("x").alias(target), F.when(F.col("down").isNull() | (gap("up") < gap("down")), F.col("up")).otherwise(F.col("down")).alias(label))
+    below = F.col("down").isNull() | (gap("up") < gap("down"))
+    return near.select(F.col("x").alias(target), F.when(below, F.col("up")).otherwise(F.col("down")).alias(label))
 
 
 def nearest_one(labels: DataFrame, label: str, value) -> DataFrame:

@@ -104,11 +104,23 @@ def graft(target: DataFrame, source: DataFrame, offset: tuple[int, ...], grid: G
     return joined.select("array", "coords", F.coalesce("new", "old").alias("ptr"))
 
 
-def append(index: DataFrame, more: DataFrame, grid: Grid, dim: int = 0) -> DataFrame:
-    """Graft behind the present grid along one dimension."""
+def append(index: DataFrame, more: DataFrame, grid: Grid, source: Grid, dim: int = 0) -> tuple[DataFrame, Grid]:
+    """The index with the source's chunks behind the present ones along one dimension, and the grown grid.
+
+    Pointers can only be moved by whole chunks: an array whose last chunk along
+    the dimension is not full is an error (its cells must be chunked anew), and so
+    are other chunk shapes or other sizes of the other dimensions. The source's
+    own last chunk may be ragged.
+    """
+    if grid.chunk_shape != source.chunk_shape:
+        raise ValueError(f"chunks of {source.chunk_shape} cannot be appended to chunks of {grid.chunk_shape}")
+    if any(a != b for k, (a, b) in enumerate(zip(grid.array_shape, source.array_shape)) if k != dim):
+        raise ValueError(f"{source.array_shape} does not fit behind {grid.array_shape} along dimension {dim}")
+    if grid.array_shape[dim] % grid.chunk_shape[dim]:
+        raise ValueError(f"the last chunk along dimension {dim} is not full: {grid.array_shape[dim]} in chunks of {grid.chunk_shape[dim]}")
     offset = tuple(n if k == dim else 0 for k, n in enumerate(grid.chunks))
-    shape = tuple(a * (1 + (k == dim)) for k, a in enumerate(grid.array_shape))
-    return graft(index, more, offset, grid.resized(shape))
+    grown = grid.resized(tuple(a + b * (k == dim) for k, (a, b) in enumerate(zip(grid.array_shape, source.array_shape))))
+    return graft(index, more, offset, grown), grown
 
 
 def convert(view: DataFrame) -> tuple[DataFrame, DataFrame]:

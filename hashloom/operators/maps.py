@@ -5,6 +5,8 @@ version is a position in the log; the map at a version is each key's last change
 up to there. Null pointers are legal values, so whether a key is there is told by
 its row and never by its pointer. The last change is an aggregate with map-side
 combine, not a window, so a key with very many changes is no burden for a task.
+Of several changes of one key with one seq, a set counts before a delete, and the
+greatest pointer before others, unless another order is named.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hashloom.functions import ids
 
 
-def snapshot(log: DataFrame, version: int | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def snapshot(log: DataFrame, version: int | None = None, order: tuple[str, ...] = ("seq", "op", "ptr")) -> DataFrame:
     """(key, ptr, seq) of the map at a version (default: now)."""
     if version is not None:
         log = log.where(F.col("seq") <= version)

@@ -19,14 +19,16 @@ def addressed(values: DataFrame, data: str, codec: str = "raw") -> DataFrame:
 def put(values: DataFrame, data: str, codec: str = "raw", stored: DataFrame | None = None) -> DataFrame:
     """The objects to append for these rows: each content once, without those already stored.
 
-    The ids are compared, then one row of each id is kept by a hash aggregate
+    Ids alone are compared with those stored (no content is moved for that), and
+    only rows with a new id go on. One row of each id is then kept by an aggregate
     with map-side combine, so a content that a third of the rows share meets as
     one row a task.
     """
     own = addressed(values, data, codec).where("cid is not null").select("cid", F.col(data).cast("binary").alias("data"))
-    own = own.groupBy("cid").agg(F.first("data").alias("data"))
     if stored is not None:
-        own = own.join(stored.select("cid"), "cid", "left_anti")
+        new = own.select("cid").distinct().join(stored.select("cid"), "cid", "left_anti")
+        own = own.join(new, "cid", "left_semi")
+    own = own.groupBy("cid").agg(F.first("data").alias("data"))
     return own.select("cid", F.lit(codec).alias("codec"), "data", F.octet_length("data").cast("long").alias("n_bytes"), first_byte(F.col("cid")).alias("b0"))
 
 

@@ -1,25 +1,28 @@
 """The 256-way hash trie of a map, computed from its key set.
 
 With buckets of at most M keys, a key lives at the least depth d at which no more
-than M keys share its first d + 1 hash bytes. So the layout is a matter of counts
-by hash prefix. They are taken level by level, of the keys in overfull prefixes
-only; the overfull prefixes of a level are at most 256 to the power of the level,
-so those of the first two levels (65,536 rows) are broadcast, later ones joined.
-The layout depends on the set of keys only, not on the order of their changes.
+than M keys share its first d + 1 hash bytes. In the order of their hashes, a
+prefix is shared by more than M keys just when it is shared by a key and the M-th
+behind it; so a key's depth is the longest prefix that any M + 1 neighbours, it
+among them, have in common. One shuffle deals the keys out by their first two
+bytes; prefixes of one byte are counted (256 rows at most, broadcast). The layout
+depends on the set of keys only, not on the order of their changes.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hashloom.functions import ids
+from hashloom.sources import scratch
 
 BUCKET = 4
 #: The trie cannot be deeper than the hash has bytes.
 MAX_LEVELS = 32
-_BROADCAST_LEVELS = 2
+#: Bytes that ``hash`` and ``ahead`` have in common from the start.
+_COMMON = f"aggregate(sequence(1, {MAX_LEVELS - 1}), 0, (n, l) -> if(n = l - 1 and substr(hash, 2 * l - 1, 2) = substr(ahead, 2 * l - 1, 2), l, n))"
 
 
 def layout(view: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -27,18 +30,13 @@ def layout(view: DataFrame, bucket: int = BUCKET) -> DataFrame:
     if bucket < 1:
         raise ValueError("a bucket holds one key at least")
     keys = view.select("key", "ptr", ids.key_hash(F.col("key")).alias("hash"))
-    overfull, rest = [], keys.select("hash")
-    for level in range(1, MAX_LEVELS + 1):
-        crowded = rest.groupBy(ids.prefix(F.col("hash"), level).alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("p")
-        if crowded.isEmpty():
-            break
-        overfull.append((level, F.broadcast(crowded) if level <= _BROADCAST_LEVELS else crowded))
-        rest = rest.join(overfull[-1][1], ids.prefix(F.col("hash"), level) == F.col("p"), "left_semi")
-    marked = keys
-    for level, crowded in overfull:
-        marked = marked.join(crowded.select(F.col("p").alias(f"p{level}")), ids.prefix(F.col("hash"), level) == F.col(f"p{level}"), "left")
-    depth = reduce(lambda a, b: a + b, [F.col(f"p{level}").isNotNull().cast("int") for level, _ in overfull], F.lit(0))
-    placed = marked.select("key", "ptr", "hash", depth.alias("depth"))
+    first = keys.groupBy(ids.prefix(F.col("hash"), 1).alias("p")).agg((F.count("*") > bucket).alias("full"))
+    by = Window.partitionBy(ids.prefix(F.col("hash"), 2)).orderBy("hash", "key")
+    ahead = keys.select("*", F.lead("hash", bucket).over(by).alias("ahead"))
+    shared = F.when(ids.prefix(F.col("hash"), 3) != ids.prefix(F.col("ahead"), 3), F.lit(2)).when(F.col("ahead").isNotNull(), F.expr(_COMMON))
+    run = ahead.select("key", "ptr", "hash", F.max(shared).over(by.rowsBetween(-bucket, 0)).alias("deep"))
+    placed = run.join(F.broadcast(first), ids.prefix(F.col("hash"), 1) == F.col("p"))
+    placed = placed.select("key", "ptr", "hash", F.coalesce("deep", F.col("full").cast("int")).alias("depth"))
     return placed.select("*", F.substr("hash", F.lit(1), F.col("depth") * 2).alias("node"), ids.slot(F.col("hash"), F.col("depth")).alias("slot"))
 
 
@@ -85,11 +83,12 @@ def merkle(placed: DataFrame) -> DataFrame:
     A node's digest is the SHA-256 of its sorted entries, joined by '|': for a
     key its slot, key hash and pointer, for a link its slot and the child's
     digest. One aggregate a level, deepest first; a node has at most 256 times
-    the bucket size entries.
+    the bucket size entries. What a level gives is stored, as two uses need it.
     """
     two = lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")
     entries = placed.select("depth", "node", F.concat(two(F.col("slot")), F.lit("="), "hash", F.lit(":"), F.coalesce("ptr", F.lit("-"))).alias("entry"))
-    deepest = placed.agg(F.max("depth")).first()[0]
+    entries = scratch.stored(entries)
+    deepest = entries.agg(F.max("depth")).first()[0]
     if deepest is None:
         return placed.sparkSession.createDataFrame([], "node string, digest string")
     levels, below = [], None
@@ -98,7 +97,7 @@ def merkle(placed: DataFrame) -> DataFrame:
         if below is not None:
             parent = F.substr("node", F.lit(1), F.length("node") - 2)
             own = own.unionByName(below.select(parent.alias("node"), F.concat(F.right("node", F.lit(2)), F.lit(">"), "digest").alias("entry")))
-        below = own.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "|"), 256).alias("digest"))
+        below = scratch.stored(own.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "|"), 256).alias("digest")))
         levels.append(below)
     return reduce(DataFrame.unionByName, levels)
 

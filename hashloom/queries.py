@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hashloom.functions import crypt, ids, ranges
 from hashloom.operators import arrays, grid, maps, metrics, namespace, objects
 from hashloom.plans import trie
+from hashloom.sources import scratch
 from hashloom.streaming import log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +103,7 @@ def cas_byte_requests(spark, d):
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, p AS pos, CASE p WHEN 0 THEN doc_id WHEN 1 THEN doc_id + 1 ELSE -1 END AS want FROM documents, (VALUES (0), (1), (2)) AS t(p) WHERE doc_id % 10 = 0)
+WITH r AS (SELECT doc_id, p AS pos, CASE p WHEN 0 THEN doc_id WHEN 1 THEN doc_id + 1 ELSE -1 END AS want FROM documents, (VALUES (0), (1), (2)) AS t(p))
 SELECT r.doc_id, r.pos, left(hex(encode(x.text)), 16) AS part FROM r LEFT JOIN documents x ON x.doc_id = r.want
 """)
 def cas_partial_values(spark, d):
@@ -110,7 +111,7 @@ def cas_partial_values(spark, d):
     docs = _documents(spark, d)
     view = docs.select(F.col("doc_id").cast("string").alias("key"), ids.content_id(F.col("text")).alias("ptr"))
     wanted = F.array(F.col("doc_id"), F.col("doc_id") + 1, F.lit(-1).cast("long"))
-    asked = docs.where("doc_id % 10 = 0").select("doc_id", F.posexplode(wanted).alias("pos", "want")).withColumn("key", F.col("want").cast("string"))
+    asked = docs.select("doc_id", F.posexplode(wanted).alias("pos", "want")).withColumn("key", F.col("want").cast("string"))
     pointed = asked.join(view, "key", "left").withColumnRenamed("ptr", "cid").withColumns({"offset": F.lit(0), "length": F.lit(8)})
     return objects.load(pointed, _objects(spark, d), "offset", "length").select("doc_id", "pos", F.hex("data").alias("part"))
 
@@ -295,9 +296,9 @@ def trie_extract_bits(spark, d):
     return _documents(spark, d).select("doc_id", ids.slot(h, 0).alias("b0"), ids.extract_bits(h, 0, 5).alias("five0"), ids.extract_bits(h, 1, 5).alias("five1"))
 
 
-@query(f"{_PLACED} SELECT (SELECT count(*) FROM (SELECT DISTINCT node FROM placed UNION SELECT DISTINCT substr(hash, 1, 2 * l) FROM placed, (VALUES (0), (1), (2), (3)) AS t(l) WHERE l <= depth)) AS n_nodes")
+@query(f"{_PLACED}, {_LINKS} SELECT (SELECT count(*) FROM (SELECT DISTINCT node FROM placed UNION SELECT DISTINCT substr(hash, 1, 2 * l) FROM placed, (VALUES (0), (1), (2), (3)) AS t(l) WHERE l <= depth)) AS n_nodes, (SELECT CAST(sum(strlen('{{\"slot\":' || slot || ',\"kind\":\"' || kind || '\",\"key\":\"' || key || '\",\"ptr\":\"' || ptr || '\",\"child\":\"' || child || '\"}}')) + count(*) + count(DISTINCT node) AS BIGINT) FROM (SELECT node, slot, 'bucket' AS kind, key, ptr, '' AS child FROM placed UNION ALL SELECT node, slot, 'link', '', '', child FROM links)) AS n_bytes")
 def trie_node_count(spark, d):
-    return trie.serialized_bytes(trie_layout(spark, d)).select("n_nodes")
+    return trie.serialized_bytes(trie_layout(spark, d))
 
 
 # --- names ----------------------------------------------------------------------
@@ -333,9 +334,13 @@ _SHAPE = "shape AS (SELECT CAST(max(u) // 10 + 1 AS BIGINT) AS g1, max(u) + 1 AS
 _INDEX = f"WITH {_CELLS}, {_SHAPE}, idx AS (SELECT DISTINCT h // 24 AS c0, u // 10 AS c1, 'f01551220' || sha256((h // 24) || '/' || (u // 10)) AS ptr FROM cells)"
 
 
-def _cells(spark, d):
+def _cells(spark, d, first: int | None = None, last: int | None = None):
+    """Cells by hour and user; with ``first`` and ``last`` the hours between are selected by their time stamps, so that the scan can skip others."""
     hour = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{ORIGIN}', ts)")
-    return arrays.cells_by(table(spark, d, "events"), {"h": hour, "u": F.col("user_id")}, "value", ("ts", "event_id"))
+    events = table(spark, d, "events")
+    events = events if first is None else events.where(f"ts >= timestamp_ntz'{ORIGIN}' + make_dt_interval(0, {first})")
+    events = events if last is None else events.where(f"ts < timestamp_ntz'{ORIGIN}' + make_dt_interval(0, {last + 1})")
+    return arrays.cells_by(events, {"h": hour, "u": F.col("user_id")}, "value", ("ts", "event_id"))
 
 
 def _grid(spark, d) -> grid.Grid:
@@ -397,12 +402,13 @@ def grid_changed_shards(spark, d):
     return grid.changed_shards(index, after, own).select("shard")
 
 
-@query(f"{_INDEX}, q AS (SELECT h AS c0, u AS c1 FROM (SELECT unnest(range(0, 30)) AS h) CROSS JOIN (SELECT unnest(range(0, 2)) AS u)) SELECT q.c0, q.c1, CASE WHEN i.c0 IS NOT NULL THEN q.c0 || '/' || q.c1 END AS data FROM q LEFT JOIN idx i ON i.c0 = q.c0 AND i.c1 = q.c1 AND q.c0 % 2 = 0")
+@query(f"{_INDEX}, q AS (SELECT h AS c0, u AS c1 FROM (SELECT unnest(range(0, 30)) AS h) CROSS JOIN (SELECT unnest(range(0, g1)) AS u FROM shape)) SELECT q.c0, q.c1, CASE WHEN i.c0 IS NOT NULL THEN q.c0 || '/' || q.c1 END AS data FROM q LEFT JOIN idx i ON i.c0 = q.c0 AND i.c1 = q.c1 AND q.c0 % 2 = 0")
 def grid_get(spark, d):
     index = _index(spark, d).where("coords[0] % 2 = 0")
     contents = objects.put(_index(spark, d).select(F.array_join(F.transform("coords", lambda c: c.cast("string")), "/").alias("v")), "v")
-    asked = spark.range(60).select(F.lit("value").alias("array"), F.array(F.floor(F.col("id") / 2).cast("long"), F.col("id") % 2).alias("coords"))
-    return _flat(grid.get_chunks(asked, index, contents, _grid(spark, d)), F.col("data").cast("string").alias("data"))
+    own = _grid(spark, d)
+    asked = spark.range(own.n_chunks).select(F.lit("value").alias("array"), F.array(F.floor(F.col("id") / own.chunks[1]).cast("long"), F.col("id") % own.chunks[1]).alias("coords"))
+    return _flat(grid.get_chunks(asked, index, contents, own), F.col("data").cast("string").alias("data"))
 
 
 @query(f"{_INDEX} SELECT c0, c1, ptr, c0 * 1 + c1 AS lin FROM idx WHERE c0 < 15 AND c1 < 1")
@@ -420,7 +426,8 @@ def grid_graft(spark, d):
 
 @query(f"{_INDEX} SELECT c0, c1, ptr FROM idx UNION ALL SELECT c0 + 30, c1, ptr FROM idx")
 def grid_append(spark, d):
-    return _flat(grid.append(_index(spark, d), _index(spark, d), _grid(spark, d)), "ptr")
+    own = _grid(spark, d)
+    return _flat(grid.append(_index(spark, d), _index(spark, d), own, own)[0], "ptr")
 
 
 @query(f"{_INDEX} SELECT 'value/c/' || c0 || '/' || c1 AS key, ptr, c0 * g1 + c1 AS lin FROM idx, shape")
@@ -448,12 +455,12 @@ _CUBE = f"WITH {_CELLS}"
 
 @query(f"{_CUBE} SELECT * FROM cells WHERE h BETWEEN 100 AND 200")
 def arr_sel_range(spark, d):
-    return arrays.sel(_cells(spark, d), h=(100, 200))
+    return arrays.sel(_cells(spark, d, 100, 200), h=(100, 200))
 
 
 @query(f"{_CUBE} SELECT * FROM cells WHERE h BETWEEN 100 AND 300 AND u BETWEEN 3 AND 9")
 def arr_sel_box(spark, d):
-    return arrays.sel(_cells(spark, d), h=(100, 300), u=(3, 9))
+    return arrays.sel(_cells(spark, d, 100, 300), h=(100, 300), u=(3, 9))
 
 
 @query(f"{_CUBE} SELECT * FROM cells WHERE u = 7")
@@ -463,7 +470,7 @@ def arr_sel_exact(spark, d):
 
 @query(f"{_CUBE} SELECT * FROM cells WHERE h >= 600")
 def arr_sel_open(spark, d):
-    return arrays.sel(_cells(spark, d), h=(600, None))
+    return arrays.sel(_cells(spark, d, 600), h=(600, None))
 
 
 @query("""
@@ -528,8 +535,8 @@ def arr_rechunk(spark, d):
 
 @query(f"{_CUBE} SELECT * FROM cells WHERE h BETWEEN 100 AND 200")
 def arr_pruned_sel(spark, d):
-    """A label range as a range of chunks first, then of labels."""
-    cells = arrays.rechunk(_cells(spark, d), h=24)
+    """A label range as a range of chunks first, then of labels: the cells lie in a folder for each chunk row, and only those in the range are read."""
+    cells = scratch.stored(arrays.rechunk(_cells(spark, d), h=24), "h_chunk")
     hours = spark.range(720).select(F.col("id").alias("h"))
     first, last = arrays.chunks_of(hours, "h", "h", 24, 100, 200).first()
     return arrays.sel(arrays.prune(cells, "h_chunk", first, last), h=(100, 200)).drop("h_chunk")

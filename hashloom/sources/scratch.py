@@ -1,16 +1,31 @@
-"""Folders for intermediate files, below the one that driver and executors share."""
+"""Folders and tables for intermediate data, below the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; only where none is named (tests), below a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is named, a temporary one is set for a local master (tests), and a cluster gets an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *partitions: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read from there: a cut lineage that survives lost executors."""
+    path = folder(df.sparkSession)
+    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    return df.sparkSession.read.parquet(path) if partitions else df.sparkSession.read.schema(df.schema).parquet(path)

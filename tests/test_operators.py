@@ -1,7 +1,12 @@
+import base64
 import hashlib
 import http.server
+import json
+import os
+import random
 import re
 import threading
+import time
 from collections import Counter
 
 import pytest
@@ -153,7 +158,20 @@ def test_resize_and_graft(spark):
     with pytest.raises(Exception, match="outside the grid"):
         grid.graft(index, source, (10, 0), tall).collect()
     assert chunks(grid.set_chunks(index, index_of(spark, [((1, 1), None), ((0, 0), "n")]), g)) == {(1, 0): "a", (0, 1): "b", (0, 0): "n"}
-    assert chunks(grid.append(index, index, g)) == {(1, 0): "a", (0, 1): "b", (1, 1): "c", (3, 0): "a", (2, 1): "b", (3, 1): "c"}
+    assert chunks(grid.append(index, index, g, g)[0]) == {(1, 0): "a", (0, 1): "b", (1, 1): "c", (3, 0): "a", (2, 1): "b", (3, 1): "c"}
+
+
+def test_append_of_another_length(spark):
+    days, more = grid.Grid((100, 4), (20, 4), 50), grid.Grid((50, 4), (20, 4), 50)
+    index = index_of(spark, [((k, 0), f"d{k}") for k in range(5)])
+    got, grown = grid.append(index, index_of(spark, [((k, 0), f"m{k}") for k in range(3)]), days, more)
+    assert grown.array_shape == (150, 4) and chunks(got) == {(k, 0): f"d{k}" if k < 5 else f"m{k - 5}" for k in range(8)}
+    with pytest.raises(ValueError, match="not full"):
+        grid.append(index, index, grid.Grid((25, 4), (10, 4), 50), grid.Grid((25, 4), (10, 4), 50))
+    with pytest.raises(ValueError, match="does not fit"):
+        grid.append(index, index, days, grid.Grid((50, 8), (20, 4), 50))
+    with pytest.raises(ValueError, match="cannot be appended"):
+        grid.append(index, index, days, grid.Grid((50, 4), (10, 4), 50))
 
 
 def test_linear_numbers(spark):
@@ -170,6 +188,27 @@ def test_nearest(spark):
     assert got == {t: min(labels, key=lambda v: (abs(v - t), v)) for t in asked}
 
 
+def test_nearest_of_skewed_labels(spark, monkeypatch):
+    monkeypatch.setattr(arrays, "RANGE_ROWS", 50)
+    r = random.Random(1)
+    labels = [r.random() for _ in range(400)] + [1e15, -1e15, 5.0]
+    asked = [r.random() * 2 - 0.5 for _ in range(200)] + [1e14, -2e15, 9e14, 3.0]
+    frame = lambda rows, kind: spark.createDataFrame([(v,) for v in rows], kind)
+    got = {x.target: x.x for x in arrays.nearest(frame(labels, "x double"), "x", frame(asked, "target double")).collect()}
+    assert got == {t: min(labels, key=lambda v: (abs(v - t), v)) for t in asked}
+    assert {x.x for x in arrays.nearest(frame([], "x double"), "x", frame([1.0], "target double")).collect()} == {None}
+
+
+def test_selections_reach_the_scan(spark):
+    from hashloom import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    pushed = [x for x in plan(queries.arr_sel_box(spark, sf)).splitlines() if "PushedFilters" in x]
+    assert pushed and all("GreaterThanOrEqual(ts" in x and "LessThan(ts" in x and "user_id" in x for x in pushed)
+    assert re.search(r"PartitionFilters: \[[^\]]*h_chunk", plan(queries.arr_pruned_sel(spark, sf)))
+
+
 def test_array_steps(spark):
     cells = spark.createDataFrame([(i, float(i)) for i in range(10)], "t long, v double")
     assert arrays.differences(cells, cells).isEmpty() and arrays.not_increasing(cells, "t", "v").isEmpty()
@@ -201,11 +240,16 @@ def test_stream(spark, tmp_path):
 
 @pytest.fixture
 def server():
-    store, fails = {}, Counter()
+    store, fails, flight = {}, Counter(), Counter(pause=0)
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
             cid = self.path.rsplit("/", 1)[1]
+            flight["now"] += 1
+            flight["most"] = max(flight["most"], flight["now"])
+            flight["headers"] = dict(self.headers)
+            time.sleep(flight["pause"])
+            flight["now"] -= 1
             if cid not in store:
                 return self.send_error(404)
             data = store[cid]
@@ -217,8 +261,11 @@ def server():
         def do_POST(self):
             body = self.rfile.read(int(self.headers["Content-Length"]))
             data = body.split(b"\r\n\r\n", 1)[1].rsplit(b"\r\n--", 1)[0]
-            store["f01551220" + hashlib.sha256(data).hexdigest()] = data
-            self.answer(b"{}")
+            cid = "f01551220" + hashlib.sha256(data).hexdigest()
+            store[cid] = data
+            flight["headers"] = dict(self.headers)
+            lower = "b" + base64.b32encode(bytes.fromhex(cid[1:])).decode().lower().rstrip("=")
+            self.answer(json.dumps({"Hash": flight.get("wrong") or lower}).encode())
 
         def answer(self, data):
             self.send_response(200)
@@ -231,12 +278,12 @@ def server():
 
     httpd = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=httpd.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{httpd.server_port}", store
+    yield f"http://127.0.0.1:{httpd.server_port}", store, flight
     httpd.shutdown()
 
 
 def test_gateway(spark, server):
-    url, store = server
+    url, store, _ = server
     spark.dataSource.register(gateway.GatewaySource)
     values = objects.put(spark.createDataFrame([("0123456789abcdefghij",), ("b",)], "v string"), "v")
     values.select("cid", "data").write.format("cas_gateway").option("rpc", url).mode("append").save()
@@ -253,6 +300,42 @@ def test_gateway(spark, server):
         gateway.load_remote(spark.createDataFrame([("nope",)], "cid string"), url).collect()
 
 
+def test_gateway_filters_and_ids(spark, server):
+    url, store, _ = server
+    spark.dataSource.register(gateway.GatewaySource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    values = objects.put(spark.createDataFrame([("a",), ("b",), ("c",)], "v string"), "v")
+    written = gateway.save_remote(values, url).collect()
+    assert all(r.cid == r.remote_id for r in written) and set(store) == {r.cid for r in written}
+    a, b, c = sorted(store)
+    read = spark.read.format("cas_gateway").option("gateway", url)
+    both = lambda df: {r.cid for r in df.where(F.col("cid") == b).where(F.col("cid").isin(c, b)).collect()}
+    assert both(read.load()) == {b} and both(read.option("ids", a).load()) == set()
+    assert read.option("ids", a).load().where(F.col("cid") == b).where(F.col("cid").isin(c)).isEmpty()
+    with pytest.raises(Exception, match="name the objects"):
+        spark.read.format("cas_gateway").option("gateway", url).load().collect()
+    store[a] = b"other"
+    with pytest.raises(Exception, match="another hash"):
+        gateway.load_remote(spark.createDataFrame([(a,)], "cid string"), url).collect()
+
+
+def test_gateway_requests(server):
+    url, store, flight = server
+    cids = []
+    for k in range(12):
+        cids.append(gateway.add(url, b"%d" % k, headers=gateway.with_authentication({"X-Own": "1"}, "ann", "pw")))
+    assert flight["headers"]["X-Own"] == "1" and flight["headers"]["Authorization"] == "Basic " + base64.b64encode(b"ann:pw").decode()
+    assert set(cids) == set(store)
+    flight["pause"] = 0.05
+    assert list(gateway.in_flight(lambda c: gateway.fetch(url, c, headers={"X-Own": "2"}), cids, 3)) == [b"%d" % k for k in range(12)]
+    assert 1 < flight["most"] <= 3 and flight["headers"]["X-Own"] == "2"
+    flight["wrong"] = cids[0]
+    with pytest.raises(ValueError, match="another hash"):
+        gateway.add(url, b"x")
+    with pytest.raises(ValueError):
+        list(gateway.in_flight(len, [b""], 0))
+
+
 def test_tries(monkeypatch):
     pauses = []
     monkeypatch.setattr(gateway.time, "sleep", pauses.append)
@@ -268,3 +351,9 @@ def test_tries(monkeypatch):
     with pytest.raises(ValueError):
         gateway.add("http://x", b"", chunker="size-0")
     assert ids.CODECS["raw"] == "55"
+
+
+def test_repeated_keys_of_one_call(spark):
+    log = spark.createDataFrame([], "seq long, op string, key string, ptr string")
+    changes = spark.createDataFrame([("k", p) for p in ("b", "c", None, "a")], "key string, ptr string").repartition(4)
+    assert [tuple(r) for r in maps.snapshot(maps.set_all(log, changes)).collect()] == [("k", "c", 1)]
