@@ -1,34 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""What the operators share: bounded batches and stored intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from hashloom.sources.scratch import stored  # noqa: F401  (the operators import it from here)
 
 #: Bytes of one Arrow batch that goes to a Python worker (a single longer row is a batch of its own).
 BATCH_BYTES = 8 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is named (tests), a temporary one is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder and read from there: a cut lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame) -> DataFrame:
-    """The frame, with the session's Arrow batches bounded in bytes and not in rows only."""
+    """The frame, with Arrow batches bounded in bytes and not in rows only: a setting of the session, which stays for the caller's other queries."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
