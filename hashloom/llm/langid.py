@@ -35,7 +35,7 @@ TRAIN_ROWS = 20_000
 ORDERS = (4, 3, 2, 1)
 BACKOFF = 1.5
 #: Text bytes counted at a time, and keys of one table that a task holds before it passes them on.
-COUNT_BYTES, HELD_KEYS = 1 << 18, 200_000
+COUNT_BYTES, HELD_KEYS = 1 << 18, 60_000
 _LETTER = np.array([chr(c).isalpha() and c < 0x80 or c >= 0x80 for c in range(256)])
 _MARK = ord("_")
 
