@@ -44,7 +44,7 @@ STRONG = 5
 #: Members, and shingles, of one block at most (about).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 #: Up to so many candidate ids are sent to the tasks that read the texts; beyond, the texts are shuffled to them.
-BROADCAST_IDS = 200_000
+BROADCAST_IDS = 50_000
 
 
 def band_plan(threshold: float = 0.8, recall: float = 0.999999, rows: int = 5) -> tuple[int, int]:
