@@ -220,17 +220,19 @@ class Scorer:
         return names, share
 
 
-def identify(docs: DataFrame, by: int = 3, out: int = 1, bound: int = TRAIN_ROWS, keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, by: int = 3, out: int = 1, bound: int = TRAIN_ROWS, keep: bool = False, prefix: str = "") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; rows whose crc32 remainder is ``out`` are not learned from.
 
-    ``keep``: return the columns of ``docs`` and the three behind them (columns of these names are replaced).
+    ``keep``: return the columns of ``docs`` and the three behind them (columns of these names are replaced);
+    ``prefix`` goes before the three names.
     """
     held = sampling.remainder("doc_id", by) == out
     labels = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held)
     model = train(sampling.labelled(docs, labels, "lang", bound))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = bounded(docs).drop("held_out", "lang_pred", "score") if keep else texts(docs)
-    base = base.withColumn("held_out", F.coalesce(held, F.lit(False)))
+    more = [prefix + c for c in ("held_out", "lang_pred", "score")]
+    base = bounded(docs).drop(*more) if keep else texts(docs)
+    base = base.withColumn(more[0], F.coalesce(held, F.lit(False)))
     names = [c for c in base.columns if keep or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,7 @@ def identify(docs: DataFrame, by: int = 3, out: int = 1, bound: int = TRAIN_ROWS
         for batch in batches:
             for part in tb.slices(batch):
                 langs, scores = scorer.score(part.column("text")) if scorer else (["und"] * part.num_rows, np.zeros(part.num_rows))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores)], names=[*names, *more[1:]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in names)
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return base.mapInArrow(run, f"{schema}, `{more[1]}` string, `{more[2]}` double")

@@ -2,12 +2,15 @@
 
 import hashlib
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from hashloom.llm import bpe_codec, decontam, langid, ngram_join, quality, secret_scan, suffix_dedup, syncmers, token_counts, toxicity
+from hashloom.llm.shared import stored
 
+SF = "/root/testdata/sf0.001"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -58,6 +61,36 @@ def test_anchor_rows(nasty, empty):
     assert syncmers.positions(empty).isEmpty()
 
 
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages(k, spark, nasty, empty):
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, nasty, SF)
+    rows = got.collect()
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in nasty.collect()} and stage(spark, empty, SF).isEmpty()
+    if name != "tokens":
+        assert got.columns == nasty.columns and all({r[c] for r in rows} <= {c} for c in ("n", "id", "score", "label", "rep"))
+    ids = sorted(str(r.doc_id) for r in rows)
+    if name == "language_id":
+        assert not {"1", "2", "3", "7"} & set(ids) and {"4", "5", "6", "8", "None"} <= set(ids)
+    if name == "near_duplicates":
+        assert ids == sorted(["1", "3", "4", "5", "7", "8", "None", "9", "10"])
+    if name in ("decontamination", "secrets", "tokens"):
+        assert len(rows) == nasty.count()
+    if name == "secrets":
+        assert {r.doc_id: r.text for r in rows}[10].endswith("[redacted]") and {r.doc_id: r.text for r in rows}[1] is None
+    if name == "tokens":
+        assert all((r.n_tokens > 0) == (r.doc_id not in (1, 2, 3)) for r in rows)
+
+
+def test_run(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = corpus_pipeline.run(spark, SF).collect()
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF))
+    want = docs.collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in want) and len(got) > 50
+
+
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
