@@ -7,11 +7,12 @@ from the grid, so no change of the grid can move a chunk to another place.
 
 from __future__ import annotations
 
+import json
 from math import prod
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Arrays with these names are coordinates: stored whole, never looked up in the chunk index.
+#: Arrays with these names are coordinates, unless others are named: stored whole, never looked up in the chunk index (fixed values).
 COORDINATES = ("time", "lat", "lon", "latitude", "longitude", "forecast_reference_time", "step")
 
 
@@ -66,16 +67,16 @@ def geometry(shapes: DataFrame) -> DataFrame:
     return sized.withColumn("n_shards", F.ceil(F.col("n_chunks") / F.col("chunks_per_shard")))
 
 
-def parse_key(key: Column) -> Column:
+def parse_key(key: Column, coordinates: tuple[str, ...] = COORDINATES) -> Column:
     """struct(array, coords) of a chunk key, null for a metadata key.
 
-    Metadata keys end in .json, have no '/c/', or belong to a coordinate array.
-    Coordinates that are not numbers are null.
+    Metadata keys end in .json, have no '/c/', or belong to an array that is named
+    in ``coordinates``. Coordinates that are not numbers are null.
     """
     where = F.length(key) - F.length(F.substring_index(key, "/c/", -1)) - 2
     array = F.substr(key, F.lit(1), where - 1)
     name = F.substring_index(array, "/", -1)
-    chunk = ~key.endswith(".json") & key.contains("/c/") & ~name.isin(*COORDINATES)
+    chunk = ~key.endswith(".json") & key.contains("/c/") & ~name.isin(*coordinates)
     coords = F.transform(F.split(F.substring_index(key, "/c/", -1), "/"), lambda c: c.try_cast("bigint"))
     return F.when(chunk, F.struct(array.alias("array"), coords.alias("coords")))
 
@@ -96,6 +97,15 @@ def resize(index: DataFrame, grid: Grid) -> DataFrame:
     return index.where(grid.inside(F.col("coords")))
 
 
+def resize_by_metadata(index: DataFrame, metadata: str, grid: Grid) -> tuple[DataFrame, Grid]:
+    """The index and the grid in the shape that an array's new metadata JSON gives; an error if it has none, or one with another number of dimensions."""
+    shape = json.loads(metadata).get("shape")
+    if not isinstance(shape, list) or not all(isinstance(n, int) for n in shape):
+        raise ValueError("the metadata has no shape")
+    grown = grid.resized(tuple(shape))
+    return resize(index, grown), grown
+
+
 def graft(target: DataFrame, source: DataFrame, offset: tuple[int, ...], grid: Grid) -> DataFrame:
     """The target's index with the source's chunks at shifted places; where both have one, the source's; an error outside the grid. Pointers only: no content is read or copied."""
     shifted = F.zip_with("coords", F.array(*map(F.lit, offset)).cast("array<bigint>"), lambda a, b: a + b)
@@ -123,9 +133,9 @@ def append(index: DataFrame, more: DataFrame, grid: Grid, source: Grid, dim: int
     return graft(index, more, offset, grown), grown
 
 
-def convert(view: DataFrame) -> tuple[DataFrame, DataFrame]:
+def convert(view: DataFrame, coordinates: tuple[str, ...] = COORDINATES) -> tuple[DataFrame, DataFrame]:
     """Index and metadata (key, ptr) of a map whose keys are chunk and metadata keys; pointers only."""
-    parsed = view.select("key", "ptr", parse_key(F.col("key")).alias("chunk"))
+    parsed = view.select("key", "ptr", parse_key(F.col("key"), coordinates).alias("chunk"))
     return parsed.where("chunk is not null").select("chunk.array", "chunk.coords", "ptr"), parsed.where("chunk is null").select("key", "ptr")
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hashloom.functions import ids, ranges
 
+#: The forms of a chunker option (fixed by the public interface).
+CHUNKER = r"size-[1-9]\d*|rabin|rabin-[1-9]\d*-[1-9]\d*-[1-9]\d*"
+
 
 def addressed(values: DataFrame, data: str, codec: str = "raw") -> DataFrame:
     """The rows with the id of their data; rows without data have none."""
@@ -90,4 +93,4 @@ def collect_garbage(objects: DataFrame, pins: DataFrame, references: DataFrame |
 
 def valid_chunker(option: Column) -> Column:
     """Whether a chunker option has one of the known forms."""
-    return option.rlike(r"^(size-[1-9]\d*|rabin|rabin-[1-9]\d*-[1-9]\d*-[1-9]\d*)$")
+    return option.rlike(f"^({CHUNKER})$")

@@ -37,10 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from hashloom.operators.objects import CHUNKER
+
 SCHEMA = "cid string, data binary"
 _RAW = "f01551220"  # of the id of raw bytes by SHA-256, in base16
 GATEWAY, RPC = "http://127.0.0.1:8080", "http://127.0.0.1:5001"
-_CHUNKER = re.compile(r"(size-[1-9]\d*|rabin|rabin-[1-9]\d*-[1-9]\d*-[1-9]\d*)\Z")
+_CHUNKER = re.compile(rf"({CHUNKER})\Z")
 
 
 def tried_again(call: Callable[[], bytes], retries: int = 3, pause: float = 1.0, factor: float = 2.0) -> bytes:

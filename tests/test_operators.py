@@ -161,6 +161,22 @@ def test_resize_and_graft(spark):
     assert chunks(grid.append(index, index, g, g)[0]) == {(1, 0): "a", (0, 1): "b", (1, 1): "c", (3, 0): "a", (2, 1): "b", (3, 1): "c"}
 
 
+def test_resize_by_metadata(spark):
+    g = grid.Grid((20, 20), (10, 10), 4)
+    index = index_of(spark, [((1, 0), "a"), ((0, 1), "b"), ((1, 1), "c")])
+    got, grown = grid.resize_by_metadata(index, '{"shape": [10, 30], "zarr_format": 3}', g)
+    assert grown.array_shape == (10, 30) and chunks(got) == {(0, 1): "b"}
+    for bad, what in (("{}", "no shape"), ('{"shape": [3]}', "number of dimensions")):
+        with pytest.raises(ValueError, match=what):
+            grid.resize_by_metadata(index, bad, g)
+
+
+def test_other_coordinate_names(spark):
+    keys = spark.createDataFrame([("a/depth/c/0",), ("a/time/c/1",), ("v/c/2/3",)], "key string")
+    of = lambda *names: {r.key for r in keys.where(grid.parse_key(F.col("key"), *names).isNotNull()).collect()}
+    assert of() == {"a/depth/c/0", "v/c/2/3"} and of(("depth",)) == {"a/time/c/1", "v/c/2/3"}
+
+
 def test_append_of_another_length(spark):
     days, more = grid.Grid((100, 4), (20, 4), 50), grid.Grid((50, 4), (20, 4), 50)
     index = index_of(spark, [((k, 0), f"d{k}") for k in range(5)])
