@@ -282,8 +282,10 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     text with the least hash stays. Of repeated rows (one doc_id and text) one stays.
     """
     rows = stored(_linked(docs).groupBy("doc_id", "text_hash", "text_key", "root").agg(F.count("*").alias("times")))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"), F.sum("times").alias("n")).where("n > 1")
-    found = stored(rows.join(best, "root").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays"), "times").where("not stays or times > 1"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
+    best = stored(rows.groupBy("root").agg(first, F.sum("times").alias("n")).where("n > 1"))  # stored, so that the rows of a large class can be split
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    found = stored(rows.join(best, "root").select("doc_id", "text_hash", stays.alias("stays"), "times").where("not stays or times > 1"))
 
     def same(left: DataFrame, right: DataFrame) -> Column:
         return left["doc_id"].eqNullSafe(right["gone_id"]) & (_text_hash(left) == right["gone_hash"])
