@@ -14,15 +14,16 @@ type; repeated items and repeated documents
 are treated row by row; extra columns of either input are ignored by
 ``contamination`` and kept by ``decontaminate``; empty tables give empty
 results. An item table of any size works: beyond ``block_words`` words it is cut
-into blocks with an automaton each (bounded broadcasts), and the documents are
-scanned once for each block.
+into blocks with an automaton each, which are built, broadcast and released one
+after the other, and the documents are scanned once for each block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hashloom.llm import textbuf as tb
 from hashloom.llm.shared import bounded, texts
+from hashloom.sources.scratch import folder
 
 #: Words are runs of these characters once A-Z are lower case.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,6 +43,12 @@ BLOCK_WORDS = 100_000
 #: Longer items are cut into overlapping pieces, so that blocks stay even.
 PIECE_WORDS = 10_000
 
+#: What the passes over several blocks store, and the names it has while it is beside the columns of the documents.
+_HITS = "code string, hit array<long>, items array<long>"
+_CODE, _HIT, _ITEMS = (f"decontamination: {x}" for x in ("code", "hit", "items"))
+#: For each text of a batch: word count, hit words, item_ids, word starts and ends.
+Scan = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, set[int], np.ndarray, np.ndarray]]]
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.array([not (c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F) for c in range(256)])
@@ -188,8 +196,8 @@ class SuffixAutomaton:
         return hits, items, best
 
 
-def _scan(column: pa.Array, automaton: SuffixAutomaton) -> Iterator[tuple[int, np.ndarray, set[int], np.ndarray, np.ndarray]]:
-    """For each text: word count, numbers of hit words (sorted), item_ids, word starts and ends in the text's bytes."""
+def _bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes in lower case (padded), where texts begin, each text's first word, word starts and word ends."""
     raw, off = tb.buffers(column)
     pad = tb.padded(_LOWER[raw])
     inside = _IS_WORD[pad[: len(raw)]]
@@ -204,8 +212,12 @@ def _scan(column: pa.Array, automaton: SuffixAutomaton) -> Iterator[tuple[int, n
     ends = flags[:-1] & ~flags[1:]
     touch = cut[cut > 0] - 1
     ends[touch] |= flags[touch]
-    end = np.flatnonzero(ends) + 1
-    first = np.searchsorted(begin, off)
+    return pad, off, np.searchsorted(begin, off), begin, np.flatnonzero(ends) + 1
+
+
+def _scan(column: pa.Array, automaton: SuffixAutomaton) -> Iterator[tuple[int, np.ndarray, set[int], np.ndarray, np.ndarray]]:
+    """For each text: word count, numbers of hit words (sorted), item_ids, word starts and ends in the text's bytes."""
+    pad, off, first, begin, end = _bounds(column)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     hit: dict[int, tuple[set[int], set[int]]] = {}
     text = pad.tobytes()
@@ -241,13 +253,62 @@ def _pieces(items: DataFrame, window: int) -> DataFrame:
 
 
 def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """One automaton for each block of at most about ``block_words`` item words (checked by a count first)."""
-    pieces = _pieces(items, window)
-    total = pieces.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    for b in range(blocks):
-        own = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
-        yield SuffixAutomaton([(r.item_id, bytes(r.words).split(b" ")) for r in own.select("item_id", "words").collect()], window)
+    """One automaton for each block of at most ``block_words`` item words (or one piece); the driver holds one block at a time."""
+    held, size = [], 0
+    for r in _pieces(items, window).distinct().toLocalIterator():
+        if held and size + r.n > block_words:
+            yield SuffixAutomaton(held, window)
+            held, size = [], 0
+        held.append((r.item_id, bytes(r.words).split(b" ")))
+        size += r.n
+    yield SuffixAutomaton(held, window)
+
+
+def _write_hits(texts: DataFrame, automaton: SuffixAutomaton, path: str) -> None:
+    """Add (code, hit, items) of the texts that one block hits; its broadcast is gone afterwards."""
+    shared = texts.sparkSession.sparkContext.broadcast(automaton)
+    kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tb.slices(batch):
+                scanned = zip(part.column("code").to_pylist(), _scan(part.column("text"), shared.value))
+                rows = [(code, hit.tolist(), sorted(found)) for code, (_, hit, found, _, _) in scanned if len(hit)]
+                columns = zip(*rows) if rows else ((),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["code", "hit", "items"])
+
+    texts.mapInArrow(run, _HITS).write.mode("append").parquet(path)
+    shared.destroy()
+
+
+def _joined(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, set[int], np.ndarray, np.ndarray]]:
+    """As ``_scan``, from the hits that were joined to the texts."""
+    _, off, first, begin, end = _bounds(batch.column("text"))
+    hits, items = batch.column(_HIT).to_pylist(), batch.column(_ITEMS).to_pylist()
+    for d in range(len(off) - 1):
+        lo, hi = first[d], first[d + 1]
+        yield int(hi - lo), np.array(sorted(hits[d] or ()), np.int64), set(items[d] or ()), begin[lo:hi] - off[d], end[lo:hi] - off[d]
+
+
+def _with_hits(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> tuple[DataFrame, Scan]:
+    """The documents, and a function that gives for a batch of them what ``_scan`` gives, over all blocks of items.
+
+    A single block is broadcast and scanned in the caller's pass. Of more blocks one
+    at a time is built, broadcast, scanned against all documents and released, so
+    that memory does not grow with the items; what is hit is stored under the hash
+    of the text and joined to the documents.
+    """
+    spark, blocks = docs.sparkSession, automata(items, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(first)
+        return docs, lambda batch: _scan(batch.column("text"), shared.value)
+    code, path = F.sha2(F.col("text").cast("binary"), 256), folder(spark)
+    for automaton in chain((first, second), blocks):
+        _write_hits(docs.where("text is not null").select(code.alias("code"), "text"), automaton, path)
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    hits = spark.read.schema(_HITS).parquet(path).groupBy(F.col("code").alias(_CODE)).agg(union("hit").alias(_HIT), union("items").alias(_ITEMS))
+    return docs.withColumn(_CODE, code).join(hits, _CODE, "left").drop(_CODE), _joined
 
 
 def _digest(items: set[int]) -> str:
@@ -256,53 +317,19 @@ def _digest(items: set[int]) -> str:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, coverage."""
-    spark = docs.sparkSession
     docs = texts(docs)
-    parts = [spark.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs, scan = _with_hits(docs, items, window, block_words)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.float64())
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "coverage"]
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = parts[0].value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch):
-                rows = [(n, len(hit), len(found), _digest(found), len(hit) > 0, len(hit) / n if n else 0.0) for n, hit, found, _, _ in _scan(part.column("text"), automaton)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "coverage"])
+                rows = [(n, len(hit), len(found), _digest(found), len(hit) > 0, len(hit) / n if n else 0.0) for n, hit, found, _, _ in scan(part)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if len(parts) == 1:
-        return docs.mapInArrow(one, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, coverage double")
-    return _merged(docs, parts, kind)
-
-
-def _merged(docs: DataFrame, parts: list, kind: str) -> DataFrame:
-    """Several automata: each pass gives the hit words of a row, and a row's passes are put together."""
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-
-    def scanned(number: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = parts[number].value
-            for batch in batches:
-                for part in tb.slices(batch):
-                    rows = [(n, hit.tolist(), sorted(found)) for n, hit, found, _, _ in _scan(part.column("text"), automaton)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))))], names=["doc_id", "row", "n_words", "hit", "items"])
-
-        return keyed.mapInArrow(run, f"doc_id {kind}, row long, n_words long, hit array<long>, items array<long>")
-
-    passes = scanned(0).withColumn("part", F.lit(0))
-    for number in range(1, len(parts)):
-        passes = passes.unionByName(scanned(number).withColumn("part", F.lit(number)))
-    merged = passes.groupBy("doc_id", "row").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        F.count_if(F.col("part") == 0).alias("copies"),
-    )
-    n = F.size("hit").cast("long")
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
-        (n > 0).alias("contaminated"), F.when(F.col("n_words") > 0, n / F.col("n_words")).otherwise(0.0).alias("coverage"),
-    )
+    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, coverage double")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_span: int = LEAST_CUT - 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -316,23 +343,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
     such a column, follows the new text. With several blocks of items, the hit
     words of all blocks are put together before a document is judged and cut.
     """
-    parts = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
-
-    def found(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """As ``_scan`` without the items, over all blocks."""
-        rows = [(n, [hit], begin, end) for n, hit, _, begin, end in _scan(column, parts[0].value)]
-        for shared in parts[1:]:
-            for (_, hits, _, _), (_, hit, _, _, _) in zip(rows, _scan(column, shared.value)):
-                hits.append(hit)
-        for n, hits, begin, end in rows:
-            yield n, np.unique(np.concatenate(hits)), begin, end
+    schema = docs.schema
+    docs, scan = _with_hits(bounded(docs), items, window, block_words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch):
                 texts, keep = [], []
                 whole = part.column("text").to_pylist()
-                for text, (n, hit, begin, end) in zip(whole, found(part.column("text"))):
+                for text, (n, hit, _, begin, end) in zip(whole, scan(part)):
                     keep.append(not n or len(hit) <= max_coverage * n)
                     if len(hit) and keep[-1]:
                         raw, out, at = text.encode(), [], 0
@@ -343,9 +362,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
                                 at = end[hit[b]]
                         text = b"".join([*out, raw[at:]]).decode()
                     texts.append(text)
-                columns = {f.name: part.column(f.name) for f in part.schema} | {"text": pa.array(texts, part.schema.field("text").type)}
+                columns = {name: part.column(name) for name in schema.names} | {"text": pa.array(texts, part.schema.field("text").type)}
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
 
-    return bounded(docs).mapInArrow(cut, docs.schema)
+    return docs.mapInArrow(cut, schema)

@@ -72,6 +72,12 @@ def test_decontaminate(spark, nasty, empty):
     got = decontam.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), short).orderBy("doc_id").collect()
     assert [r.text for r in got] == ["now tell me: ? of water and of other things here", texts[1]]
     assert decontam.decontaminate(nasty, items.limit(0)).exceptAll(nasty).isEmpty()
+    in_blocks = [decontam.contamination(nasty, short.unionByName(items), block_words=n) for n in (1, 100)]
+    assert in_blocks[0].count() == nasty.count() and in_blocks[0].exceptAll(in_blocks[1]).isEmpty()
+    assert decontam.decontaminate(nasty, short, block_words=1).exceptAll(nasty).isEmpty()
+    assert decontam.decontaminate(empty, short, block_words=1).isEmpty()
+    pieces = [len(a.alphabet) for a in decontam.automata(short.unionByName(short).unionByName(items), block_words=12)]
+    assert sum(pieces) <= 19 and max(pieces) <= 12 and len(pieces) >= 2
     assert decontam.decontaminate(empty, items).isEmpty()
 
 
