@@ -23,6 +23,9 @@ ROOTS = "flush long, array_shape array<bigint>, chunk_shape array<bigint>, chunk
 #: Of several values for one key in one version, the one with the greatest pointer counts.
 _ORDER = ("seq", "op", "ptr")
 
+#: Shards hashed together, and levels of such groups before an array's own digest.
+_FAN, _SHARD_LEVELS = 1024, 2
+
 
 class _Folder:
     def __init__(self, spark: SparkSession, path: str, read_only: bool):
@@ -115,6 +118,20 @@ class MapStore(_Folder):
         return self.view().count()
 
 
+def _root(shards: DataFrame, shape: str) -> str:
+    """The digest of all shards of all arrays: hashes of bounded groups of shards, then of arrays, so that no row holds them all."""
+    joined = lambda: F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "|"), 256)
+    rows = shards.select("array", "shard", F.concat_ws(":", F.lpad(F.col("shard").cast("string"), 20, "0"), "digest").alias("entry"))
+    for _ in range(_SHARD_LEVELS):
+        rows = rows.withColumn("shard", F.floor(F.col("shard") / _FAN)).groupBy("array", "shard").agg(joined().alias("entry"))
+        rows = rows.select("array", "shard", F.concat_ws(":", F.lpad(F.col("shard").cast("string"), 20, "0"), "entry").alias("entry"))
+    rows = rows.groupBy("array").agg(joined().alias("entry")).select(F.sha2(F.concat("array", "entry"), 256).alias("entry"))
+    for digits in (6, 3):
+        rows = rows.groupBy(F.substr("entry", F.lit(1), F.lit(digits)).alias("part")).agg(joined().alias("entry"))
+        rows = rows.select(F.concat("part", "entry").alias("entry"))
+    return rows.select(joined().alias("entry")).select(F.sha2(F.concat(F.lit(shape), "entry"), 256)).first()[0]
+
+
 class ShardStore(_Folder):
     """A chunk index in shards: a flush writes the shards that changed, and the manifest says which flush holds each."""
 
@@ -165,10 +182,8 @@ class ShardStore(_Folder):
         rows = grid.sharded(index, own).join(changed.select("array", "shard"), ["array", "shard"], "left_semi")
         rows.select("array", "coords", "ptr", "shard").write.mode("overwrite").parquet(f"{self.path}/chunks/flush={flush}")
         changed.write.mode("overwrite").parquet(f"{self.path}/shards/flush={flush}")
-        shards = both.where("digest is not null").groupBy("array").agg(F.sort_array(F.collect_list(F.struct("shard", "digest"))).alias("s"))
-        arrays = shards.select(F.sha2(F.concat("array", F.to_json("s")), 256).alias("d")).agg(F.sort_array(F.collect_list("d")).alias("d"))
         shape = f"{own.array_shape}{own.chunk_shape}{own.chunks_per_shard}"
-        root = arrays.select(F.sha2(F.concat(F.lit(shape), F.array_join("d", "|")), 256)).first()[0]
+        root = _root(both.where("digest is not null"), shape)
         row = [(flush, list(own.array_shape), list(own.chunk_shape), own.chunks_per_shard, root)]
         self.spark.createDataFrame(row, ROOTS).write.mode("append").parquet(f"{self.path}/roots")
         return root
