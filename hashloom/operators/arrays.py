@@ -48,8 +48,7 @@ def nearest(labels: DataFrame, label: str, targets: DataFrame, target: str = "ta
     points = labels.select(F.col(label).alias("x"), F.col(label).alias("own"), F.lit(False).alias("ask")).where("x is not null").distinct()
     asks = targets.select(F.col(target).cast(kind).alias("x"), F.lit(None).cast(kind).alias("own"), F.lit(True).alias("ask")).distinct()
     both = points.unionByName(asks)
-    ranges = min(MOST_RANGES, max(1, -(-both.count() // RANGE_ROWS)))
-    placed = scratch.stored(both.repartitionByRange(ranges, "x").select("*", F.spark_partition_id().alias("range")))
+    placed = scratch.ranged(both, "x", RANGE_ROWS, MOST_RANGES)
     ends = placed.groupBy("range").agg(F.min("own").alias("first"), F.max("own").alias("last"))
     over = Window.orderBy("range")
     last, first = F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.min("first").over(over.rowsBetween(1, Window.unboundedFollowing))
@@ -76,9 +75,8 @@ def concat(*parts: DataFrame) -> DataFrame:
 
 def stitch(final: DataFrame, provisional: DataFrame, dim: str) -> DataFrame:
     """Final cells, and provisional ones behind the last final label."""
-    last = final.agg(F.max(dim).alias("last"))
-    later = provisional.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col(dim) > F.col("last"))).drop("last")
-    return final.unionByName(later)
+    last = final.agg(F.max(dim)).scalar()
+    return final.unionByName(provisional.where(last.isNull() | (F.col(dim) > last)))
 
 
 def extent(cells: DataFrame, *dims: str) -> DataFrame:
@@ -94,9 +92,8 @@ def not_increasing(labels: DataFrame, position: str, label: str) -> DataFrame:
 
 def append(cells: DataFrame, more: DataFrame, position: str) -> DataFrame:
     """Cells with more of them behind, at shifted positions."""
-    size = cells.agg((F.coalesce(F.max(position), F.lit(-1)) + 1).alias("by"))
-    moved = more.crossJoin(F.broadcast(size)).withColumn(position, F.col(position) + F.col("by")).drop("by")
-    return cells.unionByName(moved)
+    size = cells.agg(F.coalesce(F.max(position), F.lit(-1)) + 1).scalar()
+    return cells.unionByName(more.withColumn(position, F.col(position) + size))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

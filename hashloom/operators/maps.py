@@ -38,8 +38,8 @@ def delete_all(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _append(log: DataFrame, rows: DataFrame, op: str) -> DataFrame:
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    return log.select("seq", "op", "key", "ptr").unionByName(rows.crossJoin(F.broadcast(last)).select((F.col("last") + 1).alias("seq"), F.lit(op).alias("op"), "key", "ptr"))
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
+    return log.select("seq", "op", "key", "ptr").unionByName(rows.select((last + 1).alias("seq"), F.lit(op).alias("op"), "key", "ptr"))
 
 
 def missing(view: DataFrame, keys: DataFrame) -> DataFrame:

@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hashloom.sources import scratch
+
 #: Percentiles are taken over the first so many values of a metric.
 SAMPLE_LIMIT = 2000
+#: Partitions whose first values are merged in one group.
+FAN = 1000
+
+
+def _first(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group, in the order of ``at``."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).where(F.col("nth") <= limit).drop("nth")
 
 
 def distribution(events: DataFrame, name: str, value: str, order: tuple[str, ...], limit: int = SAMPLE_LIMIT) -> DataFrame:
     """Count and mean over all values of each metric; min, median, nearest-rank p95 and p99, max over its first ``limit`` ones.
 
-    The first values are kept by a top-k filter with map-side limits (Spark's
-    window group limit), so a metric with very many events is not sorted in one
-    task.
+    The first values are taken of each partition, then of each ``FAN`` partitions, then
+    of all, so a metric that a third of all rows share is sorted in no single task.
     """
     totals = events.groupBy(name).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
-    ranked = events.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy(name).orderBy(*order))).where(F.col("rn") <= limit)
-    sample = ranked.groupBy(name).agg(F.sort_array(F.collect_list(value)).alias("s"))
+    some = events.where(F.col(value).isNotNull())
+    first = some.select(F.col(name).alias("name"), F.col(value).alias("value"), F.struct(*order).alias("at"), F.spark_partition_id().alias("part"))
+    first = _first(first, ["name", "part"], limit).withColumn("part", F.floor(F.col("part") / FAN))
+    first = _first(_first(first, ["name", "part"], limit), ["name"], limit)
+    sample = first.groupBy(F.col("name").alias(name)).agg(F.sort_array(F.collect_list("value")).alias("s"))
     at = lambda p: F.element_at("s", F.bround((F.size("s") - 1) * F.lit(p)).cast("int") + 1)
     half = F.size("s") / 2
     median = (F.element_at("s", F.floor(half + 0.5).cast("int")) + F.element_at("s", F.floor(half + 1).cast("int"))) / 2
@@ -45,15 +56,16 @@ def hit_miss(events: DataFrame, store: str, kind: str, hit: Column) -> DataFrame
     return events.withColumn("hit", hit).cube(store, kind).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-def max_inflight(events: DataFrame, begin: str, end: str, span: str = "hour") -> DataFrame:
+def max_inflight(events: DataFrame, begin: str, end: str) -> DataFrame:
     """The greatest number of loads under way at once; a load that ends when another begins is over.
 
-    Starts and ends are summed within spans of time, in parallel, and the spans'
-    totals, one row each, are carried on from one to the next.
+    Changes are summed by their time first. Ranges of times with about as many rows
+    each are summed up in parallel, and the ranges' totals, one row each and of
+    bounded number, are carried on from one to the next.
     """
     steps = events.select(F.col(begin).alias("t"), F.lit(1).alias("by")).unionByName(events.select(F.col(end).alias("t"), F.lit(-1).alias("by")))
-    at = steps.groupBy("t").agg(F.sum(F.when(F.col("by") < 0, -1).otherwise(0)).alias("down"), F.sum(F.when(F.col("by") > 0, 1).otherwise(0)).alias("up")).withColumn("span", F.date_trunc(span, "t"))
-    inner = Window.partitionBy("span").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    spans = at.withColumn("level", F.sum(F.col("up") + F.col("down")).over(inner)).groupBy("span").agg(F.max("level").alias("top"), F.sum(F.col("up") + F.col("down")).alias("net"))
-    before = F.coalesce(F.sum("net").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spans.select((before + F.col("top")).alias("level")).agg(F.max("level").alias("max_inflight"))
+    placed = scratch.ranged(steps.groupBy("t").agg(F.sum("by").alias("by")), "t")
+    inner = Window.partitionBy("range").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.withColumn("level", F.sum("by").over(inner)).groupBy("range").agg(F.max("level").alias("top"), F.sum("by").alias("net"))
+    before = F.coalesce(F.sum("net").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranges.select((before + F.col("top")).alias("level")).agg(F.max("level").alias("max_inflight"))

@@ -56,7 +56,7 @@ class MapStore(_Folder):
         return self if read_only == self.read_only else MapStore(self.spark, self.path, read_only)
 
     def log(self) -> DataFrame:
-        log = self._table("log", LOG).join(F.broadcast(self.versions().select("version")), "version", "left_semi")
+        log = self._table("log", LOG).join(self.versions().select("version"), "version", "left_semi")
         return log if self.version is None else log.where(F.col("version") <= self.version)
 
     def versions(self) -> DataFrame:
@@ -160,7 +160,7 @@ class ShardStore(_Folder):
 
     def manifest(self) -> DataFrame:
         """(array, shard, digest, flush) of the shards with chunks."""
-        counted = self._table("shards", SHARDS).join(F.broadcast(self._table("roots", ROOTS).select("flush")), "flush", "left_semi")
+        counted = self._table("shards", SHARDS).join(self._table("roots", ROOTS).select("flush"), "flush", "left_semi")
         latest = counted.groupBy("array", "shard").agg(F.max_by(F.struct("digest", "flush"), "flush").alias("m"))
         return latest.select("array", "shard", "m.digest", "m.flush").where("digest is not null")
 

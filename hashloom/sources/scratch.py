@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +29,9 @@ def stored(df: DataFrame, *partitions: str) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return df.sparkSession.read.parquet(path) if partitions else df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, column: str, rows: int = 50_000, most: int = 20_000) -> DataFrame:
+    """The rows, stored, with the number of their range in ``range``: up to ``most`` ranges of the column's values, sampled so that each holds about as many rows (``rows`` in general)."""
+    ranges = min(most, max(1, -(-df.count() // rows)))
+    return stored(df.repartitionByRange(ranges, column).select("*", F.spark_partition_id().alias("range")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hashloom.functions import ids
 from hashloom.operators import arrays, grid, maps, metrics, namespace, objects
 from hashloom.plans import trie
-from hashloom.sources import gateway
+from hashloom.sources import gateway, scratch
 from hashloom.streaming import log_stream
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -244,6 +244,24 @@ def test_metrics(spark):
     assert metrics.max_inflight(times, "a", "b").first()[0] == 3
 
 
+def test_first_values_over_partitions(spark, monkeypatch):
+    """The sample is that of all partitions together, however they are merged."""
+    monkeypatch.setattr(metrics, "FAN", 2)
+    values = spark.range(1000).select(F.lit("hot").alias("name"), F.col("id").alias("value"), (999 - F.col("id")).alias("at")).repartition(7)
+    got = metrics.distribution(values, "name", "value", ("at",), limit=10).first()
+    assert (got.n, got.n_sample, got.min, got.max) == (1000, 10, 990, 999)
+
+
+def test_inflight_over_ranges(spark, monkeypatch):
+    """Levels are carried over the ends of ranges; many loads begin and end at one time."""
+    whole = scratch.ranged
+    monkeypatch.setattr(scratch, "ranged", lambda df, column: whole(df, column, rows=5))
+    rows = [(k % 17, k % 17 + 1 + k % 29) for k in range(200)] + [(3, 40)] * 50
+    loads = spark.createDataFrame(rows, "a long, b long")
+    most = max(sum(a <= t < b for a, b in rows) for t in range(60))
+    assert metrics.max_inflight(loads, "a", "b").first()[0] == most
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "set", "k", "a"), (2, "delete", "k", None), (3, "set", "m", "b")], LOG).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
