@@ -10,8 +10,8 @@ The model is fitted on at most ``TRAIN_ROWS`` labelled rows, by one task, and is
 ``2 ** BITS`` weights large whatever the input; every document is scored.
 
 Cases: a null or empty text has no features and gets the score of the intercept;
-null labels are not learned from; without any labelled row every score is 0.5;
-extra columns are ignored.
+null labels are not learned from, repeated rows once; without any labelled row
+every score is 0.5; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 4, out: int = 2, threshold: float = 0.7, bound: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; rows whose crc32 remainder is ``out`` are not learned from."""
     held = sampling.remainder("doc_id", by) == out
-    weights, bias = train(sampling.labelled(docs, labels.where(~held), label, bound))
+    weights, bias = train(sampling.at_most(sampling.labelled(docs, labels.where(~held), label, bound), bound))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ is fitted on at most ``TRAIN_ROWS`` labelled rows, by one task, and its size doe
 not depend on the input.
 
 Cases: a text without words gets the share of toxic rows as its score; null
-labels are not learned from; without labelled rows of both kinds every score is
+labels are not learned from, repeated rows once; without labelled rows of both kinds every score is
 that share (0 without any row); extra columns are ignored.
 """
 
@@ -351,7 +351,8 @@ def train(sample: DataFrame) -> dict:
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 5, out: int = 0, threshold: float = 0.5, bound: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; rows whose crc32 remainder is ``out`` are not learned from."""
     held = sampling.remainder("doc_id", by) == out
-    model = docs.sparkSession.sparkContext.broadcast(train(sampling.labelled(docs, labels.where(~held), label, bound)))
+    sample = sampling.at_most(sampling.labelled(docs, labels.where(~held), label, bound), bound)
+    model = docs.sparkSession.sparkContext.broadcast(train(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)

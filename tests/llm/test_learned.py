@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hashloom.llm import langid, quality, secret_scan, textbuf as tb, toxicity, words
+from hashloom.llm import langid, quality, sampling, secret_scan, textbuf as tb, toxicity, words
 from test_exact import brute_contamination
 
 SF = "/root/testdata/sf0.01"
@@ -46,6 +46,16 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.92 and np.mean([r.predicted for r in got if not r.toxic]) < 0.05
 
 
+def test_sample_of_a_repeated_id_is_bounded(spark):
+    """One id with very many rows does not make the sample larger; each of its texts counts once."""
+    docs = spark.range(300).selectExpr("id % 2 as doc_id", "concat('text ', id % 50) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    sample = sampling.labelled(docs, labels, "toxic", 20)
+    got = sampling.at_most(sample, 20).collect()
+    assert len(got) == len({(r.doc_id, r.text) for r in got}) == 20
+    assert sampling.at_most(sample, 100).count() == 50
+
+
 def test_toxicity_gradients():
     texts, toxic = ["foo bar baz idiot x", "foo bar qux", "zap zip zop foo idiot bar"] * 3, np.array([1.0, 0, 1] * 3)
     pad, begin, end, bounds = words.spans(pa.array(texts, pa.large_string()))
